@@ -19,7 +19,7 @@ KEYS = ["repo", "push_id"]
 # Abbreviation and format version per fact type.
 ABBREVIATIONS = {
     "npm-project-deps": "npmdeps",
-    "npm-project-coordinates": "NPM coordinates",
+    "npm-project-coordinates": "npm-project-coordinates",
     "typescript-version": "tsv",
     "python-direct-dep": "pydep",
     "maven-parent-pom": "mvnp",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.documents import string_list, truthy
 from fleetlens.functions.names import k8s_name, maven_name, npm_name_encode
 from fleetlens.functions.payload import item, json_text, no_items
-from fleetlens.functions.text import SPACE, directory_of, extract_or_null, line_count, matches, unix_lines
+from fleetlens.functions.text import SPACE, extract_or_null, line_count, matches, unix_lines
 
 NPM = "npm-project-deps"
 NPM_COORDINATES = "npm-project-coordinates"
@@ -306,11 +306,11 @@ def code_owners(content: Column) -> Column:
 
 def secrets_in(content: Column) -> Column:
     """array<struct<kind, found>> of every secret in a text."""
-    per_kind = [
-        F.transform(matches(content, pattern), lambda m, kind=kind: F.struct(F.lit(kind).alias("kind"), m.alias("found")))
-        for kind, pattern in SECRETS.items()
-    ]
-    return F.concat(*per_kind)
+
+    def of_kind(kind: str, pattern: str) -> Column:
+        return F.transform(matches(content, pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("found")))
+
+    return F.concat(*[of_kind(kind, pattern) for kind, pattern in SECRETS.items()])
 
 
 def mask(secret: Column) -> Column:
@@ -342,7 +342,3 @@ def source_lines(path: Column, content: Column) -> Column:
 def markup_matches(content: Column, pattern: str, group: int = 1) -> Column:
     """All captured values of one grammar in one file, in text order."""
     return matches(content, pattern, group)
-
-
-def manifest_folder(path: Column) -> Column:
-    return directory_of(path)

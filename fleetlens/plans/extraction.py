@@ -230,7 +230,7 @@ def _classified(name: str, rules: list[tuple[str, list[str], str]], kinds: list[
     reasons = ", ".join(f"CASE WHEN {cond} THEN '\"{r}\"' END" for cond, _, r in rules)
     return with_ctes(
         f"""SELECT {FACT} FROM (SELECT repo, push_id, {envelope(name)}, type AS name, '{{"tags":["'
-        || array_to_string(list_sort(list_distinct(list_filter([{tags}], t -> t IS NOT NULL))), '","') || '"],"reasons":['
+        || array_to_string(list_sort(list_distinct(list_filter([{tags}], lambda t: t IS NOT NULL))), '","') || '"],"reasons":['
         || concat_ws(',', {reasons}) || ']}}' AS data FROM (SELECT p.*, coalesce(has, []) AS has FROM pushes p LEFT JOIN
         (SELECT push_id, list(DISTINCT p_type) AS has FROM lp GROUP BY push_id) USING (push_id))
         WHERE {" OR ".join(cond for cond, _, _ in rules)})""",

@@ -32,7 +32,7 @@ CTE = {
         QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ts DESC, push_id DESC) = 1""",
     # one row per push and part type: first brand, largest size, number of brands
     "kinds": """SELECT push_id, p_type, min(brand) AS first, max(size) AS top, count(*) AS n FROM bl GROUP BY ALL""",
-    "changed": f"""SELECT push_id, list_filter([{_changed}], x -> x IS NOT NULL) AS files_changed
+    "changed": f"""SELECT push_id, list_filter([{_changed}], lambda x: x IS NOT NULL) AS files_changed
         FROM lp GROUP BY push_id""",
     "pf": "SELECT pushes.*, files_changed FROM pushes LEFT JOIN changed USING (push_id)",
     # push facts of the default branch, in push order

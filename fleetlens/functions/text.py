@@ -50,3 +50,8 @@ def ancestors(path: Column) -> Column:
 def clamp(x: Column) -> Column:
     """Scores live on a 1..5 scale."""
     return F.least(F.lit(5.0), F.greatest(F.lit(1.0), x.cast("double")))
+
+
+def round6(x: Column) -> Column:
+    """Six decimals, halves up, by plain arithmetic."""
+    return F.floor(x * 1000000 + 0.5) / 1000000

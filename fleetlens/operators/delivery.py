@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.payload import KEYS, with_envelope
-from fleetlens.functions.text import line_count
+from fleetlens.functions.text import line_count, round6
 from fleetlens.operators.sequencing import day_of, newest_n, number_rows, trailing_frame
 
 COMMIT_DEPTH = 30
@@ -37,11 +37,16 @@ def code_metrics(files: DataFrame) -> DataFrame:
     lines = files.select("repo", "language", line_count(F.col("content")).alias("lines"))
     return lines.rollup("repo", "language").agg(
         F.grouping_id().cast("bigint").alias("level"),
-        F.count(F.lit(1)).alias("files"),
+        F.count("*").alias("files"),
         F.sum("lines").alias("lines"),
     )
 
 
+def exact_sum(column: str) -> Column:
+    """A sum that does not depend on the order of its input."""
+    return F.sum(F.col(column).cast("decimal(18,6)")).cast("double")
+
+
 def build_time(events: DataFrame) -> DataFrame:
     """Number, mean, median and longest duration of successful builds per repo.
 
@@ -53,9 +58,9 @@ def build_time(events: DataFrame) -> DataFrame:
     ranked = number_rows(builds, "repo", ["value", "event_id"], F.floor("value"))
     middle = F.col("seq").isin(F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2"))
     return ranked.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("builds"),
-        F.round(F.avg("value"), 6).alias("mean_seconds"),
-        F.round(F.avg(F.when(middle, F.col("value"))), 6).alias("median_seconds"),
+        F.count("*").alias("builds"),
+        round6(exact_sum("value") / F.count("*")).alias("mean_seconds"),
+        round6(F.avg(F.when(middle, F.col("value")))).alias("median_seconds"),
         F.max("value").alias("max_seconds"),
     )
 

@@ -81,13 +81,15 @@ def score_repos(profile: DataFrame, wanted: dict[str, tuple[Column, Column]]) ->
 
 
 def total_scores(repo_scores: DataFrame) -> DataFrame:
-    """Mean of the given scores per repo, and its rank in the fleet.
+    """Mean of the given scores per repo (six decimals), and its rank in the fleet.
 
     The rank counts repositories with a higher mean. It is taken over the
     distinct means, at most four million of six decimals between 1 and 5,
     however many repositories there are.
     """
-    means = repo_scores.groupBy("repo").agg(F.round(F.avg("score"), 6).alias("total_score"))
+    millionths = F.sum(F.round(F.col("score") * 1000000).cast("bigint"))
+    rounded = F.floor((2 * millionths + F.count("score")) / (2 * F.count("score")))
+    means = repo_scores.groupBy("repo").agg((rounded / 1000000).alias("total_score"))
     sizes = means.groupBy("total_score").agg(F.count(F.lit(1)).alias("_n"))
     above = Window.orderBy(F.desc("total_score")).rowsBetween(Window.unboundedPreceding, -1)
     ranks = sizes.select("total_score", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias("rank"))

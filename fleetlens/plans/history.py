@@ -54,7 +54,8 @@ def _code_metrics(fleet: Fleet) -> DataFrame:
 @query(
     "build_time",
     with_ctes(
-        """SELECT repo, count(*) AS builds, round(avg(value), 6) AS mean_seconds, round(median(value), 6) AS median_seconds,
+        """SELECT repo, count(*) AS builds, floor(sum(value::DECIMAL(18, 6))::DOUBLE / count(*) * 1000000 + 0.5) / 1000000 AS mean_seconds,
+        floor(median(value) * 1000000 + 0.5) / 1000000 AS median_seconds,
         max(value) AS max_seconds FROM ev WHERE kind = 'build' GROUP BY repo""",
         "ev",
     ),

@@ -47,7 +47,7 @@ def _loader(unique_keys: bool):
     if yaml is None:
         raise RuntimeError("reading YAML files needs the yaml package on the executors")
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         yaml_implicit_resolvers = {}
 
         def construct_yaml_float(self, node):
@@ -143,13 +143,13 @@ def _json_to_yaml(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ).astype(object).where(batch.notna(), None)
 
 
-def yaml_or_json(content: Column, wanted: Column) -> Column:
+def yaml_or_json(content: Column) -> Column:
     """JSON text of a YAML or JSON document (last of doubled keys wins); null when it is neither."""
     native = F.try_parse_json(content).isNotNull()
-    return F.coalesce(F.when(wanted & native, content), _document_to_json(F.when(wanted & ~native, content)))
+    return F.coalesce(F.when(native, content), _document_to_json(F.when(~native, content)))
 
 
-def spec_json(content: Column, wanted: Column) -> Column:
+def spec_json(content: Column) -> Column:
     """Canonical JSON text of a resource file, without managed-by labels.
 
     Plain JSON stays in the JVM; YAML, labelled files and numbers that need
@@ -158,8 +158,8 @@ def spec_json(content: Column, wanted: Column) -> Column:
     reprint = content.rlike(r"[:\[,]\s*-?[0-9]+(\.[0-9]+)?[eE]|[:\[,]\s*-?[0-9]+\.[0-9]*0\s*[,}\]]")
     native = F.try_parse_json(content).isNotNull() & ~F.contains(content, F.lit(MANAGED_BY)) & ~reprint
     return F.coalesce(
-        F.when(wanted & native, F.to_json(F.try_parse_json(content))),
-        _spec_to_json(F.when(wanted & ~native, content)),
+        F.when(native, F.to_json(F.try_parse_json(content))),
+        _spec_to_json(F.when(~native, content)),
     )
 
 

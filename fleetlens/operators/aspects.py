@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.documents import spec_json, yaml_or_json
 from fleetlens.functions.payload import KEYS, no_items, with_envelope
 from fleetlens.operators import extractors as x
-from fleetlens.sources.files import path_matches
+from fleetlens.sources.files import is_exact, path_matches
 
 
 @dataclass(frozen=True)
@@ -86,27 +86,58 @@ DISPLAY_NAMES: dict[str, str | None] = {a.name: a.display_name for a in ASPECTS}
 }
 
 
+PARSERS: dict[str, Callable[[Column], Column]] = {"document": yaml_or_json, "spec": spec_json}
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def fact_items(files: DataFrame, aspects: list[Aspect], keep: list[str] = KEYS) -> DataFrame:
-    """(keep, type, name, data): all aspects in one narrow pass over the files."""
+def _items(rows: DataFrame, aspects: list[Aspect], keep: list[str]) -> DataFrame:
+    """One narrow pass of aspects that need no parsed document, or share one."""
     path = F.col("path")
-    rows = files.filter(_any([a.applies(path) for a in aspects])).withColumn("both", F.lit(None))
-    for reads, convert in (("document", yaml_or_json), ("spec", spec_json)):
-        readers = [a for a in aspects if a.reads == reads]
-        if readers:
-            wanted = _any([a.applies(path) for a in readers])
-            rows = rows.withColumn(reads, convert(F.col("content"), wanted))
 
     def items(aspect: Aspect) -> Column:
         columns = [path, F.col("content")] if aspect.reads == "both" else [F.col(aspect.reads)]
-        return F.coalesce(F.when(aspect.applies(path), aspect.items(*columns)), no_items())
-
-    found = [items(a) for a in aspects]
+        return F.coalesce(aspect.items(*columns), no_items())
+
+    # Aspects of one exact path share a CASE branch, so a row is tested against
+    # the paths until one fits and evaluates no extractor of another file.
+    by_path: dict[str, list[Column]] = {}
+    for aspect in aspects:
+        if is_exact(aspect.glob):
+            by_path.setdefault(aspect.glob, []).append(items(aspect))
+    found = [F.when(a.applies(path), items(a)).otherwise(no_items()) for a in aspects if not is_exact(a.glob)]
+    if by_path:
+        case = F
+        for exact, parts in by_path.items():
+            case = case.when(path == exact, F.concat(*parts) if len(parts) > 1 else parts[0])
+        found.append(case.otherwise(no_items()))
     combined = F.concat(*found) if len(found) > 1 else found[0]
-    return rows.select(*keep, F.explode(combined).alias("i")).select(*keep, "i.type", "i.name", "i.data")
+    # The arrays are computed in a projection and exploded from a plain column,
+    # which keeps the generator in generated code; the outer form stops Spark
+    # from inferring a filter that would compute every array twice.
+    exploded = rows.select(*keep, combined.alias("_items")).select(*keep, F.explode_outer("_items").alias("i"))
+    return exploded.filter(F.col("i").isNotNull()).select(*keep, "i.type", "i.name", "i.data")
+
+
+def fact_items(files: DataFrame, aspects: list[Aspect], keep: list[str] = KEYS) -> DataFrame:
+    """(keep, type, name, data) of all aspects.
+
+    One pass over the files for everything that is read as text, and one pass
+    per parser over just the files it parses: rows that need no parser are not
+    sent to Python, and a path filter on a stored files table skips the rest.
+    """
+    path, parts = F.col("path"), []
+    text = [a for a in aspects if a.reads not in PARSERS]
+    if text:
+        parts.append(_items(files.filter(_any([a.applies(path) for a in text])), text, keep))
+    for reads, convert in PARSERS.items():
+        readers = [a for a in aspects if a.reads == reads]
+        if readers:
+            rows = files.filter(_any([a.applies(path) for a in readers]))
+            parts.append(_items(rows.withColumn(reads, convert(F.col("content"))), readers, keep))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def extract_facts(files: DataFrame, aspects: list[Aspect] = ASPECTS, keep: list[str] = KEYS) -> DataFrame:
@@ -120,12 +151,10 @@ def rejects(files: DataFrame) -> DataFrame:
     path, content = F.col("path"), F.col("content")
     bad_json = F.try_parse_json(content).isNull()
     is_json = path.isin("package.json", "tslint.json")
-    wanted = path == ".travis.yml"
-    document = yaml_or_json(content, wanted)
+    broken_json = files.filter(is_json & bad_json)
+    broken_yaml = files.filter(path == ".travis.yml").withColumn("_d", yaml_or_json(content)).filter("_d IS NULL").drop("_d")
     return (
-        files.filter(is_json | wanted)
-        .withColumn("document", document)
-        .filter((is_json & bad_json) | (wanted & F.col("document").isNull()))
+        broken_json.unionByName(broken_yaml)
         .select(
             *KEYS,
             "path",

@@ -15,7 +15,7 @@ def travis_profile(files: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     ``only`` and ``except`` are null when the file has no branch rules.
     """
     rows = files.filter(F.col("path") == ".travis.yml")
-    document = yaml_or_json(F.col("content"), F.lit(True))
+    document = yaml_or_json(F.col("content"))
     parsed = rows.withColumn("_v", F.try_parse_json(document)).filter(F.col("_v").isNotNull())
 
     def node(path: str):
@@ -38,6 +38,6 @@ def travis_profile(files: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def document_shas(files: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Canonical JSON and its hash of YAML or JSON files; unreadable files give null."""
-    document = yaml_or_json(F.col("content"), F.lit(True))
+    document = yaml_or_json(F.col("content"))
     canonical = files.withColumn("_d", document).withColumn("document", canonical_json(F.col("_d")))
     return canonical.select(*keys, "path", "document", sha_of(F.col("document")).alias("sha"))

@@ -327,11 +327,8 @@ def exposed_secrets(path: Column, content: Column) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    extension = F.regexp_extract(path, "\\.([A-Za-z0-9]+)$", 1)
-    out = None
-    for ext, language in LANGUAGES.items():
-        out = F.when(extension == ext, F.lit(language)) if out is None else out.when(extension == ext, F.lit(language))
-    return out
+    known = F.create_map(*[F.lit(v) for pair in LANGUAGES.items() for v in pair])
+    return F.try_element_at(known, F.substring_index(path, ".", -1))
 
 
 def source_lines(path: Column, content: Column) -> Column:

@@ -6,6 +6,8 @@ files of the newest snapshots; one aggregation per repository sums them up.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +57,13 @@ def uses_library_when(predicate) -> Column:
 
 
 def uses_library(library: str, version: str | None = None) -> Column:
-    """Exact library and, when given, exact version."""
+    """Exact library and, when given, exact version, compared on the payload text."""
+    data = F.col("data")
     if version:
-        return uses_library_when(lambda lib, v: (lib == library) & (v == version))
-    return uses_library_when(lambda lib, v: lib == library)
+        hit = data == json.dumps([library, version], separators=(",", ":"), ensure_ascii=False)
+    else:
+        hit = F.startswith(data, F.lit(f"[{json.dumps(library, ensure_ascii=False)},"))
+    return F.coalesce(F.max((F.col("type") == x.NPM) & hit), F.lit(False))
 
 
 def _lines(language: str | None = None) -> Column:

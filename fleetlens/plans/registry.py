@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.session import ensure_utc
+from fleetlens.session import prepare
 from fleetlens.sources.driver import Fleet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return job(Fleet(ensure_utc(spark), sf_dir))
+            return job(Fleet(prepare(spark), sf_dir))
 
         QUERIES[name] = run
         if sql is not None:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+DEBUGGING = "spark.python.sql.dataFrameDebugging.enabled"
+
 
 def local_session(cores: int | str = "*", app: str = "fleetlens", **conf: str) -> SparkSession:
     """A session for tests and the local bench. A cluster brings its own."""
@@ -16,7 +18,11 @@ def local_session(cores: int | str = "*", app: str = "fleetlens", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(DEBUGGING, "false")
+        # small local data: keep all cores busy in stages that compute much on few bytes
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.driver.memory", "12g")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -27,10 +33,17 @@ def local_session(cores: int | str = "*", app: str = "fleetlens", **conf: str) -
     return spark
 
 
-def ensure_utc(spark: SparkSession) -> SparkSession:
-    """Event times are stored without a zone; windows are aligned in UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings the jobs rely on.
+
+    Event times are stored without a zone and windows are aligned in UTC. The
+    call-site capture of DataFrame debugging is switched off: the plans are
+    built from some thousand column expressions, and it multiplies their cost.
+    """
+    settings = {"spark.sql.session.timeZone": "UTC", DEBUGGING: "false"}
+    for key, value in settings.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

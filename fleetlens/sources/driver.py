@@ -254,15 +254,16 @@ class Fleet:
         extension = None
         for t, ext in SOURCE_EXTENSION.items():
             extension = F.when(F.col("p_type") == t, ext) if extension is None else extension.when(F.col("p_type") == t, ext)
-        lines = self.part_lines(scope).select(
-            "push_id",
-            F.concat(
-                F.lit("src/part-"), F.col("l_partkey").cast("string"), F.lit("-"),
-                F.col("l_linenumber").cast("string"), F.lit("."), extension,
-            ).alias("path"),
-            F.expr(f"repeat('x\\n', int(l_quantity) * {LINES_PER_UNIT})").alias("content"),
+        path = F.concat(
+            F.lit("src/part-"), F.col("l_partkey").cast("string"), F.lit("-"),
+            F.col("l_linenumber").cast("string"), F.lit("."), extension,
         )
-        return pushes.join(lines, "push_id").select("repo", "push_id", "path", "content")
+        content = F.expr(f"repeat('x\\n', int(l_quantity) * {LINES_PER_UNIT})")
+        # an array of one keeps the path a plain column: filters on it would
+        # otherwise be pushed into the rendering and repeat it per condition
+        file = F.explode(F.array(F.struct(path.alias("path"), content.alias("content")))).alias("f")
+        rendered = pushes.join(self.part_lines(scope), "push_id").select("repo", "push_id", file)
+        return rendered.select("repo", "push_id", "f.path", "f.content")
 
     # --- other inputs -------------------------------------------------------
 

@@ -52,10 +52,25 @@ def glob_to_regex(glob: str) -> str:
     return f"^{''.join(out)}$"
 
 
+WILD = re.compile(r"[*?{]|@\(")
+
+
+def is_exact(glob: str) -> bool:
+    return not WILD.search(glob)
+
+
 def path_matches(path: Column, glob: str) -> Column:
-    """Equality when the glob has no wildcard (pushed to the scan), else a pattern."""
-    if not re.search(r"[*?{]|@\(", glob):
+    """Plain comparisons where the glob allows it (they reach the scan), else a pattern."""
+    if is_exact(glob):
         return path == glob
+    if glob.startswith("**/") and is_exact(glob[3:]):
+        return (path == glob[3:]) | F.endswith(path, F.lit(glob[2:]))
+    if glob.endswith("/**") and is_exact(glob[:-3]):
+        return F.startswith(path, F.lit(glob[:-2]))
+    if glob.startswith("**/*") and is_exact(glob[4:]):
+        return F.endswith(path, F.lit(glob[4:]))
+    if glob.startswith("*") and is_exact(glob[1:]):
+        return F.endswith(path, F.lit(glob[1:])) & ~F.contains(path, F.lit("/"))
     return path.rlike(glob_to_regex(glob))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.payload import KEYS, with_envelope
 from fleetlens.functions.text import line_count, round6
-from fleetlens.operators.sequencing import day_of, newest_n, number_rows, trailing_frame
+from fleetlens.operators.sequencing import newest_n, number_rows, trailing_frame
 
 COMMIT_DEPTH = 30
 
@@ -51,11 +51,11 @@ def build_time(events: DataFrame) -> DataFrame:
     """Number, mean, median and longest duration of successful builds per repo.
 
     The median is exact and taken from ranks, so no task holds the durations of
-    a whole repository: builds are ranked by duration in buckets of one second
-    and the one or two middle ranks are averaged.
+    a whole repository: builds are ranked by duration and the one or two middle
+    ranks are averaged.
     """
     builds = events.filter(F.col("kind") == "build").select("event_id", "repo", "value")
-    ranked = number_rows(builds, "repo", ["value", "event_id"], F.floor("value"))
+    ranked = number_rows(builds, "repo", ["value", "event_id"])
     middle = F.col("seq").isin(F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2"))
     return ranked.groupBy("repo").agg(
         F.count("*").alias("builds"),
@@ -68,7 +68,7 @@ def build_time(events: DataFrame) -> DataFrame:
 def build_time_moving(events: DataFrame, rows: int = 5) -> DataFrame:
     """Mean duration of the last ``rows`` builds, at every build of a repo."""
     builds = events.filter(F.col("kind") == "build").select("event_id", "repo", "ts", "value")
-    numbered = number_rows(builds, "repo", ["ts", "event_id"], day_of("ts"))
+    numbered = number_rows(builds, "repo", ["ts", "event_id"])
     framed = trailing_frame(numbered, "repo", rows, {"moving_mean": F.avg("value")})
     return framed.select("event_id", "repo", "value", F.round("moving_mean", 6).alias("moving_mean"))
 

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.names import k8s_display_name
-from fleetlens.operators.sequencing import day_of, number_rows
+from fleetlens.operators.sequencing import number_rows
 
 
 def push_links(pushes: DataFrame) -> DataFrame:
     """(repo, push_id, seq, next_push_id): every push with its successor."""
-    numbered = number_rows(pushes.select("repo", "push_id", "ts"), "repo", ["ts", "push_id"], day_of("ts"))
+    numbered = number_rows(pushes.select("repo", "push_id", "ts"), "repo", ["ts", "push_id"])
     following = numbered.select(
         F.col("repo").alias("_repo"), (F.col("seq") - 1).alias("_seq"), F.col("push_id").alias("next_push_id")
     )

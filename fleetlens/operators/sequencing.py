@@ -2,7 +2,7 @@
 
 A plain window over ``partitionBy(key)`` puts all rows of a key into one task,
 and one repository may own a third of all pushes. Here the rows of a key are
-cut into buckets first; a small per-bucket summary links the buckets.
+cut into ranges first; a small summary per range links them.
 """
 
 from __future__ import annotations
@@ -10,35 +10,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 4096
-
+from fleetlens.session import cut_lineage
 
-def day_of(ts: str) -> Column:
-    """Default time bucket: a day of event time."""
-    return F.date_trunc("day", F.col(ts)).cast("date")
+BUCKET_ROWS = 4096
 
 
-def number_rows(df: DataFrame, key: str, order: list[str], bucket: Column) -> DataFrame:
+def number_rows(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Add ``seq`` (1-based position within the key) and ``n`` (rows of the key).
 
-    ``bucket`` must not decrease along ``order``. Rows are ranked inside
-    (key, bucket); the ranks are then shifted by the number of rows in earlier
-    buckets, which is a running sum over one row per bucket.
+    ``order`` has to be unique within a key. Rows are range partitioned by key
+    and order, so the cut points follow the data and neither a hot key nor a
+    hot day makes a large range. Positions inside (key, range) are then shifted
+    by the rows of earlier ranges: a running sum over one row per key and range.
+    The ranges are written out first, because cut points are sampled and have
+    to be the same for both uses.
     """
-    rows = df.withColumn("_bucket", bucket)
-    local = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)))
-    sizes = rows.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id())
+    rows = cut_lineage(ranged, "ranges")
+    local = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)))
+    sizes = rows.groupBy(key, "_range").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col(key).alias("_key"),
-        F.col("_bucket").alias("_b"),
+        F.col("_range").alias("_r"),
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
         F.sum("_size").over(Window.partitionBy(key)).alias("n"),
     )
     return (
-        local.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_bucket") == F.col("_b")))
+        local.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
         .withColumn("seq", (F.col("_rank") + F.col("_offset")).cast("bigint"))
-        .drop("_bucket", "_rank", "_key", "_b", "_offset")
+        .drop("_range", "_rank", "_key", "_r", "_offset")
     )
 
 

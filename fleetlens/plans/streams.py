@@ -15,6 +15,7 @@ from fleetlens.plans.policy import channels
 from fleetlens.plans.registry import query
 from fleetlens.plans.sources import default_pushes, npm_facts, with_push_time
 from fleetlens.plans.sql import with_ctes
+from fleetlens.session import scratch_path
 from fleetlens.sources.driver import Fleet
 from fleetlens.streaming import jobs
 
@@ -67,8 +68,9 @@ def _stream_latest(fleet: Fleet) -> DataFrame:
     def write(batch: DataFrame, batch_id: int, path: str) -> None:
         batch.write.mode("overwrite").parquet(path)
 
-    log = jobs.run_each_batch(jobs.latest_by_key(facts), "latest", "update", write)
-    return jobs.latest_table(fleet.spark, log)
+    out, checkpoint = scratch_path(fleet.spark, "latest"), scratch_path(fleet.spark, "latest-checkpoint")
+    jobs.run_each_batch(jobs.latest_by_key(facts), out, checkpoint, "update", write)
+    return jobs.latest_table(fleet.spark, out)
 
 
 @query(
@@ -82,7 +84,7 @@ def _stream_latest(fleet: Fleet) -> DataFrame:
 )
 def _stream_diffs(fleet: Fleet) -> DataFrame:
     facts = jobs.arrive(_default_facts(fleet).select("repo", "type", "name", "push_id", "ts", "sha"), "facts")
-    return jobs.run_available(jobs.changes(facts), "changes")
+    return jobs.write_changes(facts, scratch_path(fleet.spark, "changes"))
 
 
 @query(
@@ -168,4 +170,4 @@ def _stream_promote_target(fleet: Fleet) -> DataFrame:
     pushes = default_pushes(fleet)
     facts = extract_facts(fleet.files(["package.json"], pushes), [a.NPM_COORDINATES])
     stream = jobs.arrive(fingerprint_diff(facts, pushes), "diffs")
-    return jobs.promoted_targets(stream, channels(fleet), "targets")
+    return jobs.promoted_targets(stream, channels(fleet), scratch_path(fleet.spark, "targets"))

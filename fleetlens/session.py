@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Call-site capture per column expression; it multiplies the cost of building
+# plans of a thousand expressions. A static setting, so a session has to be
+# started with it.
 DEBUGGING = "spark.python.sql.dataFrameDebugging.enabled"
 
 
@@ -34,16 +37,9 @@ def local_session(cores: int | str = "*", app: str = "fleetlens", **conf: str) -
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings the jobs rely on.
-
-    Event times are stored without a zone and windows are aligned in UTC. The
-    call-site capture of DataFrame debugging is switched off: the plans are
-    built from some thousand column expressions, and it multiplies their cost.
-    """
-    settings = {"spark.sql.session.timeZone": "UTC", DEBUGGING: "false"}
-    for key, value in settings.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+    """Event times are stored without a zone; windows are aligned in UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 

@@ -7,21 +7,16 @@ is cast on the way in and back on the way out.
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetlens.operators.aspects import Aspect, extract_facts
+from fleetlens.operators.sequencing import number_rows
 from fleetlens.operators.targets import promote_target
 from fleetlens.session import scratch_path
-
-# Executors get the state function with the job, installed package or not.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from fleetlens.sources.store import upsert
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -64,14 +59,14 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_each_batch(stream: DataFrame, label: str, mode: str, write: Callable[[DataFrame, int, str], None]) -> str:
-    """Run ``write(batch, id, path)`` on every micro-batch; returns the path.
+def run_each_batch(
+    stream: DataFrame, out: str, checkpoint: str, mode: str, write: Callable[[DataFrame, int, str], None]
+) -> None:
+    """Run ``write(batch, id, path)`` on every micro-batch.
 
     A batch may be retried after a failure, so ``write`` puts its result into
-    a folder of its own id and overwrites it.
+    a folder of its own id under ``out`` and overwrites it.
     """
-    spark = stream.sparkSession
-    out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -80,7 +75,6 @@ def run_each_batch(stream: DataFrame, label: str, mode: str, write: Callable[[Da
         .start()
     )
     query.awaitTermination()
-    return out
 
 
 # --- stateless jobs -----------------------------------------------------------
@@ -121,37 +115,53 @@ def latest_table(spark: SparkSession, changelog: str) -> DataFrame:
     return newest.select("repo", "type", "name", "r.push_id", "r.sha")
 
 
-CHANGE_SCHEMA = "repo bigint, type string, name string, push_id bigint, from_sha string, to_sha string"
-STATE_SCHEMA = "sha string"
+STATE_FIELDS = ["repo", "type", "name", "push_id", "ts", "sha"]
+CHANGE_FIELDS = ["repo", "type", "name", "push_id", "from_sha", "to_sha"]
 
 
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of one key in event order; the state is the last hash.
+def batch_changes(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Changes a micro-batch brings per (repo, type, name), given the state before it.
 
-    A micro-batch holds a few narrow rows per key; its size is bounded by the
-    number of files per trigger.
+    The state row of a key comes before its new rows. Rows are numbered across
+    ranges and compared with their predecessor by an equi join, so a key that
+    fills a third of a batch is spread like any other.
     """
-    rows = pd.concat(list(batches)).sort_values(["ts", "push_id"])
-    last = state.get[0] if state.exists else None
-    before = rows["sha"].shift(1, fill_value=last) if last is not None else rows["sha"].shift(1)
-    changed = rows[before.notna() & (before != rows["sha"])]
-    state.update((rows["sha"].iloc[-1],))
-    if len(changed):
-        yield pd.DataFrame({
-            "repo": key[0], "type": key[1], "name": key[2], "push_id": changed["push_id"],
-            "from_sha": before[changed.index], "to_sha": changed["sha"],
-        })
-
-
-def changes(facts: DataFrame) -> DataFrame:
-    """Change events per (repo, type, name) across micro-batches."""
-    return (
-        facts.select("repo", "type", "name", "push_id", "ts", "sha")
-        .groupBy("repo", "type", "name")
-        .applyInPandasWithState(_changes, CHANGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    key = F.to_json(F.struct("repo", "type", "name"))
+    rows = state.select(*STATE_FIELDS, F.lit(False).alias("_new")).unionByName(
+        batch.select(*STATE_FIELDS, F.lit(True).alias("_new"))
+    )
+    numbered = number_rows(rows.withColumn("_fact", key), "_fact", ["_new", "ts", "push_id", "sha"])
+    before = numbered.select(F.col("_fact").alias("_f"), (F.col("seq") + 1).alias("_s"), F.col("sha").alias("from_sha"))
+    joined = numbered.join(before, (F.col("_fact") == F.col("_f")) & (F.col("seq") == F.col("_s")))
+    return joined.filter(F.col("_new") & (F.col("from_sha") != F.col("sha"))).select(
+        "repo", "type", "name", "push_id", "from_sha", F.col("sha").alias("to_sha")
     )
 
 
+def write_changes(facts: DataFrame, location: str) -> DataFrame:
+    """Append change events under ``location`` and return all of them.
+
+    The state is a table of the newest fact per key, one version per batch. A
+    retried batch reads the version before it and overwrites its own output,
+    so every change is written once; a restarted job goes on from its
+    checkpoint. Versions older than the checkpoint keeps may be dropped.
+    """
+    spark = facts.sparkSession
+
+    def write(batch: DataFrame, batch_id: int, path: str) -> None:
+        session = batch.sparkSession
+        schema = facts.select(*STATE_FIELDS).schema
+        if batch_id == 0:
+            state = session.createDataFrame([], schema)
+        else:
+            state = session.read.schema(schema).parquet(f"{location}/state/batch={batch_id - 1}")
+        batch_changes(state, batch).write.mode("overwrite").parquet(path)
+        upsert(state, batch.select(*STATE_FIELDS)).write.mode("overwrite").parquet(f"{location}/state/batch={batch_id}")
+
+    run_each_batch(facts, f"{location}/changes", f"{location}/checkpoint", "append", write)
+    return spark.read.parquet(f"{location}/changes").select(*CHANGE_FIELDS)
+
+
 def build_time_windows(events: DataFrame, size: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:
     """Builds and their durations per repo and window, emitted when a window has closed."""
     builds = events.filter(F.col("kind") == "build").withColumn("at", instant("ts")).withWatermark("at", delay)
@@ -179,14 +189,14 @@ def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return marked.dropDuplicatesWithinWatermark(["event_id"]).drop("at")
 
 
-def promoted_targets(coordinate_diffs: DataFrame, channels: DataFrame, label: str) -> DataFrame:
+def promoted_targets(coordinate_diffs: DataFrame, channels: DataFrame, location: str) -> DataFrame:
     """Targets proposed by coordinate changes, upserted batch by batch; newest push wins."""
 
     def write(batch: DataFrame, batch_id: int, path: str) -> None:
         votes = promote_target(batch, channels).filter(F.col("type").isNotNull())
         votes.select("type", "name", "target_data", "target_sha", "push_id").write.mode("overwrite").parquet(path)
 
-    log = run_each_batch(coordinate_diffs, label, "append", write)
-    spark = coordinate_diffs.sparkSession
+    run_each_batch(coordinate_diffs, f"{location}/targets", f"{location}/checkpoint", "append", write)
+    log = coordinate_diffs.sparkSession.read.parquet(f"{location}/targets")
     newest = F.max_by(F.struct("target_data", "target_sha"), "push_id")
-    return spark.read.parquet(log).groupBy("type", "name").agg(newest.alias("t")).select("type", "name", "t.*")
+    return log.groupBy("type", "name").agg(newest.alias("t")).select("type", "name", "t.*")

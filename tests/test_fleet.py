@@ -34,7 +34,7 @@ def skewed(spark):
 
 
 def test_numbering_equals_a_window(skewed):
-    numbered = sequencing.number_rows(skewed, "repo", ["ts", "push_id"], sequencing.day_of("ts"))
+    numbered = sequencing.number_rows(skewed, "repo", ["ts", "push_id"])
     w = Window.partitionBy("repo").orderBy("ts", "push_id")
     plain = skewed.withColumn("seq", F.row_number().over(w).cast("bigint")).withColumn(
         "n", F.count("*").over(Window.partitionBy("repo"))
@@ -45,7 +45,7 @@ def test_numbering_equals_a_window(skewed):
 
 def test_trailing_frames_cross_blocks(skewed, monkeypatch):
     monkeypatch.setattr(sequencing, "BUCKET_ROWS", 16)
-    numbered = sequencing.number_rows(skewed, "repo", ["ts", "push_id"], sequencing.day_of("ts"))
+    numbered = sequencing.number_rows(skewed, "repo", ["ts", "push_id"])
     framed = sequencing.trailing_frame(numbered, "repo", 5, {"m": F.sum("push_id")})
     w = Window.partitionBy("repo").orderBy("ts", "push_id").rowsBetween(-4, 0)
     plain = skewed.withColumn("m", F.sum("push_id").over(w))
@@ -130,19 +130,17 @@ def test_scores_ignore_missing_opinions(spark):
 
 def test_stream_changes_across_batches(spark):
     """The state survives between runs of the query; event order holds inside a batch."""
-    folder, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    folder, location = scratch_path(spark, "in"), scratch_path(spark, "changes")
     schema = "repo bigint, type string, name string, push_id bigint, ts timestamp_ntz, sha string"
 
     def step(rows):
         data = [(1, "t", n, p, DAY0 + timedelta(hours=p), sha) for n, p, sha in rows]
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(folder)
-        stream = jobs.changes(jobs.read_folder_stream(spark, folder, schema))
-        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        writer.trigger(availableNow=True).start().awaitTermination()
+        return jobs.write_changes(jobs.read_folder_stream(spark, folder, schema), location)
 
     step([("x", 2, "b"), ("x", 1, "a"), ("y", 1, "a")])
-    step([("x", 3, "b"), ("x", 4, "c"), ("y", 2, "z")])
-    found = sorted((r.name, r.push_id, r.from_sha, r.to_sha) for r in spark.read.parquet(out).collect())
+    changes = step([("x", 3, "b"), ("x", 4, "c"), ("y", 2, "z")])
+    found = sorted((r.name, r.push_id, r.from_sha, r.to_sha) for r in changes.collect())
     assert found == [("x", 2, "a", "b"), ("x", 4, "b", "c"), ("y", 2, "a", "z")]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,15 @@ from pyspark.sql import functions as F
 SPACE = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed one time, however often it is used.
+
+    Spark repeats a shared sub-expression inside conditional branches and
+    lambdas; binding it to a lambda variable does not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unix_lines(content: Column) -> Column:
     """All line ends as \\n, so that line patterns mean the same everywhere."""
     return F.regexp_replace(content, "\\r\\n?|\\u2028|\\u2029", "\n")

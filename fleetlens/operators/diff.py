@@ -27,7 +27,9 @@ def fingerprint_diff(facts: DataFrame, pushes: DataFrame) -> DataFrame:
     push as the state before it; one aggregation on (push, type, name) then
     sees both sides. That is a full outer join of the two states with one scan
     and one shuffle of the facts, keyed finely enough that no repository is hot.
-    The first push of a repository has nothing to differ from.
+    The first push of a repository has nothing to differ from. A snapshot has
+    one fact per (type, name); of several, the one with the greatest hash stands
+    for the name.
     """
     state = F.struct("sha", "data")
     roles = F.array_compact(F.array(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.documents import string_list, truthy
 from fleetlens.functions.names import k8s_name, maven_name, npm_name_encode
 from fleetlens.functions.payload import item, json_text, no_items
-from fleetlens.functions.text import SPACE, extract_or_null, line_count, matches, unix_lines
+from fleetlens.functions.text import SPACE, extract_or_null, line_count, matches, once, unix_lines
 
 NPM = "npm-project-deps"
 NPM_COORDINATES = "npm-project-coordinates"
@@ -106,8 +106,7 @@ def tslint_rules(content: Column, path: str = "rules") -> Column:
     raw = F.from_json(document, f"`{leaf}` map<string,string>")[leaf]
     typed = F.from_json(document, f"`{leaf}` map<string,variant>")[leaf]
 
-    def rule(entry):
-        node = F.element_at(typed, entry["key"])
+    def rule(entry, node):
         value = (
             F.when(~truthy(node), F.lit('""'))
             .when(F.schema_of_variant(node) == "STRING", json_text(entry["value"]))
@@ -119,7 +118,9 @@ def tslint_rules(content: Column, path: str = "rules") -> Column:
         )
         return item(TSLINT, F.concat(F.lit(f"{path}:"), entry["key"]), data)
 
-    return F.coalesce(F.transform(F.map_entries(raw), rule), no_items())
+    # both maps have the properties in text order, so they can be walked together
+    pairs = F.arrays_zip(F.map_entries(raw).alias("e"), F.map_values(typed).alias("v"))
+    return F.coalesce(F.transform(pairs, lambda p: rule(p["e"], p["v"])), no_items())
 
 
 def python_requirements(content: Column, join_continuations: bool = True) -> Column:
@@ -213,19 +214,21 @@ def lein_dependencies(content: Column) -> Column:
 
 def travis_scripts(parsed: Column) -> Column:
     """The script list of a CI file; a file without scripts still is a fact."""
-    node = F.try_variant_get(F.try_parse_json(parsed), "$.script", "variant")
-    return F.when(
-        F.try_parse_json(parsed).isNotNull(), F.array(item(TRAVIS, TRAVIS, F.to_json(string_list(node))))
-    ).otherwise(no_items())
+
+    def fact(document):
+        scripts = once(F.try_variant_get(document, "$.script", "variant"), string_list)
+        return F.when(document.isNotNull(), item(TRAVIS, TRAVIS, F.to_json(scripts)))
+
+    return F.array_compact(F.array(once(F.try_parse_json(parsed), fact)))
 
 
 def is_spec(document: Column) -> Column:
     """A variant that has apiVersion, kind and metadata.name."""
-    return (
-        truthy(F.try_variant_get(document, "$.apiVersion", "variant"))
-        & truthy(F.try_variant_get(document, "$.kind", "variant"))
-        & truthy(F.try_variant_get(document, "$.metadata.name", "variant"))
-    )
+    fields = ("$.apiVersion", "$.kind", "$.metadata.name")
+    first, *rest = [once(F.try_variant_get(document, f, "variant"), truthy) for f in fields]
+    for condition in rest:
+        first = first & condition
+    return first
 
 
 def spec_name(document: Column) -> Column:
@@ -238,8 +241,11 @@ def spec_name(document: Column) -> Column:
 
 def k8s_specs(spec: Column) -> Column:
     """``spec`` is canonical JSON text; files that are no resource give nothing."""
-    document = F.try_parse_json(spec)
-    return F.when(is_spec(document), F.array(item(K8S, spec_name(document), spec))).otherwise(no_items())
+
+    def fact(document):
+        return F.when(is_spec(document), item(K8S, spec_name(document), spec))
+
+    return F.array_compact(F.array(once(F.try_parse_json(spec), fact)))
 
 
 def docker_from(content: Column) -> Column:

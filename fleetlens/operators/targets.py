@@ -7,12 +7,13 @@ fact side when it does not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.names import npm_name_decode, npm_name_encode
 from fleetlens.functions.payload import sha_of
 from fleetlens.operators.extractors import NPM
+from fleetlens.operators.sequencing import number_rows
 
 IDEAL_REASON = "latest from NPM"
 
@@ -49,8 +50,14 @@ def target_asof(facts: DataFrame, history: DataFrame, as_of: Column) -> DataFram
     on (type, name, month) where each fact meets at most the targets that start
     within one month.
     """
-    by_key = Window.partitionBy("type", "name").orderBy("valid_from")
-    intervals = history.withColumn("_until", F.lead("valid_from").over(by_key))
+    keyed = history.withColumn("_key", F.to_json(F.struct("type", "name")))
+    numbered = number_rows(keyed, "_key", ["valid_from", "target_data"])
+    following = numbered.select(
+        F.col("_key").alias("_k"), (F.col("seq") - 1).alias("_s"), F.col("valid_from").alias("_until")
+    )
+    intervals = numbered.join(following, (F.col("_key") == F.col("_k")) & (F.col("seq") == F.col("_s")), "left").drop(
+        "_key", "_k", "_s", "seq", "n"
+    )
     first = F.trunc("valid_from", "month")
     last = F.greatest(first, F.trunc(F.coalesce("_until", as_of), "month"))
     monthly = intervals.withColumn("_month", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))

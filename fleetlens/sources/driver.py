@@ -247,8 +247,11 @@ class Fleet:
         rendered = []
         for kind in kinds:
             rendered += _RENDERERS[kind]()
-        entries = F.array_compact(F.array(*rendered))
-        return pushes.select("repo", "push_id", F.explode(entries).alias("f")).select("repo", "push_id", "f.path", "f.content")
+        # render in a projection, explode a plain column in the outer form: else
+        # Spark infers a filter on the array and renders every file twice
+        rows = pushes.select("repo", "push_id", F.array_compact(F.array(*rendered)).alias("_files"))
+        files = rows.select("repo", "push_id", F.explode_outer("_files").alias("f")).filter(F.col("f").isNotNull())
+        return files.select("repo", "push_id", "f.path", "f.content")
 
     def _source_files(self, pushes: DataFrame, scope: DataFrame | None) -> DataFrame:
         extension = None

@@ -50,13 +50,13 @@ def target_asof(facts: DataFrame, history: DataFrame, as_of: Column) -> DataFram
     on (type, name, month) where each fact meets at most the targets that start
     within one month.
     """
-    keyed = history.withColumn("_key", F.to_json(F.struct("type", "name")))
-    numbered = number_rows(keyed, "_key", ["valid_from", "target_data"])
+    keyed = history.withColumn("_target", F.to_json(F.struct("type", "name")))
+    numbered = number_rows(keyed, "_target", ["valid_from", "target_data"])
     following = numbered.select(
-        F.col("_key").alias("_k"), (F.col("seq") - 1).alias("_s"), F.col("valid_from").alias("_until")
+        F.col("_target").alias("_k"), (F.col("seq") - 1).alias("_s"), F.col("valid_from").alias("_until")
     )
-    intervals = numbered.join(following, (F.col("_key") == F.col("_k")) & (F.col("seq") == F.col("_s")), "left").drop(
-        "_key", "_k", "_s", "seq", "n"
+    intervals = numbered.join(following, (F.col("_target") == F.col("_k")) & (F.col("seq") == F.col("_s")), "left").drop(
+        "_target", "_k", "_s", "seq", "n"
     )
     first = F.trunc("valid_from", "month")
     last = F.greatest(first, F.trunc(F.coalesce("_until", as_of), "month"))

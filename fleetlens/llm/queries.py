@@ -1,6 +1,6 @@
 """The registered queries of this subpackage."""
 
-from fleetlens.llm import dart_minhash  # noqa: F401
+from fleetlens.llm import dart_minhash, quality  # noqa: F401
 from fleetlens.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage."""
 
-from fleetlens.llm import dart_minhash, language, quality, token_files, toxicity  # noqa: F401
+from fleetlens.llm import dart_minhash, language, phrases, quality, token_files, toxicity  # noqa: F401
 from fleetlens.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

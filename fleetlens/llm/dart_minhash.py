@@ -7,7 +7,8 @@ dart belongs to one of ``k`` coordinates; the earliest rank of a coordinate is i
 agree on a coordinate with the probability of their weighted Jaccard similarity. Ranks are visited only as far as about
 ``k (ln k + 4)`` darts reach; a document with an empty coordinate goes twice as far.
 
-Bands of the signature are joined. Candidates are verified by the exact weighted Jaccard similarity of the shingles.
+Bands of the signature are joined into groups of candidates. Within groups, texts are linked by the exact weighted
+Jaccard similarity of their shingles, and linked texts form classes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from fleetlens.llm.components import components
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 6
+#: Shingles in a block of a large group, and in a chunk of small groups that are compared at once.
+BLOCK, CHUNK = 400_000, 400_000
+#: A shingle of more rows than this is counted in a square of its group instead of as pairs.
+WIDE = 48
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 
@@ -109,75 +114,113 @@ def band_table(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.dropDuplicates(["digest"])
 
 
-def similarity(batch: pa.RecordBatch) -> np.ndarray:
-    """Exact weighted Jaccard similarity of the columns ``left`` and ``right``."""
-    both = pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column("left"), batch.column("right")])], ["text"])
-    parts, base, ends = [], 0, [np.zeros(1, np.int64)]
-    for _, raw, offsets in slices(both, "text"):
-        values, at = shingles(raw, offsets)
-        parts.append(values)
-        ends.append(at[1:] + base)
-        base += at[-1]
-    values, at, n = np.concatenate(parts), np.concatenate(ends), batch.num_rows
-    out = np.zeros(n)
-    for i in range(n):
-        a, b = values[at[i] : at[i + 1]], values[at[n + i] : at[n + i + 1]]
-        if len(a) and len(b):
-            ua, ca = np.unique(a, return_counts=True)
-            ub, cb = np.unique(b, return_counts=True)
-            _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-            shared = np.minimum(ca[ia], cb[ib]).sum()
-            out[i] = shared / (len(a) + len(b) - shared)
-    return out
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs ``(a, b)`` of digests whose texts are at least that similar."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        like = pa.array(similarity(batch) >= threshold)
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(like)
-
-    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("right"))
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), work, "a binary, b binary")
-
-
-def near_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _keys(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (shingle, occurrence): equal keys of two rows count the weight their shingles share."""
+    values, at = shingles(raw, offsets)
+    values, seen = occurrences(values, at)
+    return mix(values + (seen.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)), at
+
+
+def links(keys: np.ndarray, offsets: np.ndarray, group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows linked to a row before them: ``(row, first)``, a spanning forest of the pairs of one group with an exact
+    weighted Jaccard similarity of at least ``threshold``. ``group`` is sorted."""
+    m, size = len(offsets) - 1, np.diff(offsets)
+    rows = np.repeat(np.arange(m), size)
+    start = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [m]])
+    own = mix(keys + mix(np.repeat(start[:-1], np.diff(start))[rows].astype(np.uint64) * GOLD))
+    order = np.argsort(own, kind="stable")
+    own, rows = own[order], rows[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    count = np.diff(np.append(first, len(own)))
+    wide = count > WIDE
+    shared: list[tuple[np.ndarray, np.ndarray]] = []
+    for d in np.unique(count[(count > 1) & ~wide]):  # keys of few rows: their pairs, counted
+        table_ = rows[first[count == d][:, None] + np.arange(d)]
+        a, b = np.triu_indices(int(d), 1)
+        shared.append(np.unique(table_[:, a].reshape(-1) * m + table_[:, b].reshape(-1), return_counts=True))
+    for lo, hi in zip(start[:-1], start[1:], strict=True) if wide.any() else ():  # keys of many rows: a square each
+        if hi - lo > WIDE:
+            square = np.zeros((hi - lo, hi - lo), dtype=np.int32)
+            for f, d in zip(first[wide], count[wide], strict=True):
+                if lo <= rows[f] < hi:
+                    at = rows[f : f + d] - lo
+                    square[np.ix_(at, at)] += 1
+            a, b = np.nonzero(np.triu(square, 1))
+            shared.append(((a + lo) * m + b + lo, square[a, b]))
+    if not shared:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    pair, back = np.unique(np.concatenate([x for x, _ in shared]), return_inverse=True)
+    common = np.bincount(back, weights=np.concatenate([n for _, n in shared]), minlength=len(pair))
+    a, b = pair // m, pair % m
+    close = common >= threshold * (size[a] + size[b] - common) - 1e-9
+    a, b, label = a[close], b[close], np.arange(m)
+    while True:
+        old = label.copy()
+        np.minimum.at(label, b, label[a])
+        np.minimum.at(label, a, label[b])
+        label = label[label]
+        if (label == old).all():
+            return np.flatnonzero(label != np.arange(m)), label[label != np.arange(m)]
+
+
+def _links_of_groups(threshold: float):
+    """Over rows sorted by group: exact links, a chunk of whole groups at a time."""
+
+    def run(batches):
+        keys: list[np.ndarray] = []
+        group: list[tuple] = []
+        name: list[bytes] = []
+
+        def flush(n: int):
+            ids = np.unique([hash(g) for g in group[:n]], return_inverse=True)[1] if n else np.empty(0, np.int64)
+            change = np.concatenate([[0], np.cumsum(ids[1:] != ids[:-1])]) if n else ids
+            at = np.concatenate([[0], np.cumsum([len(k) for k in keys[:n]])]).astype(np.int64)
+            a, b = links(np.concatenate(keys[:n]), at, change, threshold)
+            out = pa.RecordBatch.from_arrays([pa.array([name[i] for i in x], pa.binary()) for x in (a, b)], ["a", "b"])
+            del keys[:n], group[:n], name[:n]
+            return out
+
+        for batch in batches:
+            for part, raw, offsets in slices(batch, "text"):
+                found, at = _keys(raw, offsets)
+                keys += np.split(found, at[1:-1])
+                group += list(zip(*(part.column(c).to_pylist() for c in ("root", "low", "high")), strict=True))
+                name += part.column("digest").to_pylist()
+                n = len(group) - 1
+                while n and group[n - 1] == group[-1]:
+                    n -= 1
+                if n and sum(len(k) for k in keys[:n]) > CHUNK:
+                    yield flush(n)
+        if group:
+            yield flush(len(group))
+
+    return run
+
+
+def near_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``digest``, ``root`` for every different text: texts with the same root are linked by pairs of at least
     ``threshold``, directly or through others.
 
-    Equal texts are one text. Every member of a band bucket is compared with two leaders of the bucket (least and
-    greatest digest). Then only pairs of one bucket that are still in different classes are left, and all of these are
-    compared: together that is every candidate pair that could change a class. Null and empty texts, and texts without
-    a word, have no shingles and stay alone with their equal texts.
+    Equal texts are one text. Texts that share a band bucket, directly or through others, form a group; every candidate
+    pair lies in one group. A group is dealt into blocks of about ``BLOCK`` shingles, each pair of blocks is one unit of
+    work that compares its texts exactly, and only a spanning forest of the links leaves it, never the pairs. Null and
+    empty texts, and texts without a word, have no shingles and stay alone with their equal texts.
     """
     base = cut_lineage(band_table(docs, text), "bands")
-    buckets = base.filter("n > 0").select("digest", "n", F.explode("bands").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min(F.struct("digest", "n")).alias("low"), F.max(F.struct("digest", "n")).alias("high"))
-    heads = heads.filter("low.digest < high.digest")
-    shared = cut_lineage(buckets.join(heads, "band"), "buckets")
-    pair = [F.least("digest", "head.digest").alias("a"), F.greatest("digest", "head.digest").alias("b")]
-    close = F.least("n", "head.n") >= F.greatest("n", "head.n") * threshold
-    stars = shared.select("digest", "n", F.explode(F.array("low", "high")).alias("head")).filter(F.col("digest") != F.col("head.digest")).filter(close)
-    tested = cut_lineage(stars.select(*pair).distinct(), "pairs")
-    used = shared.select("digest").distinct()
+    buckets = base.filter("n > 0").select("digest", F.explode("bands").alias("band"))
+    heads = buckets.groupBy("band").agg(F.min("digest").alias("head"), F.max("digest").alias("last")).filter("head < last").select("band", "head")
+    stars = buckets.join(heads, "band").filter("digest != head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
+    groups = components(stars, "groups").withColumnRenamed("node", "digest").join(base.select("digest", "n"), "digest")
+    blocks = groups.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("digest", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("digest", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     texts = docs.select(digest(text).alias("digest"), whole_text(text).alias("text"))
-    texts = cut_lineage(texts.join(used, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
-    links = cut_lineage(verified(tested, texts, threshold), "links")
-    roots = components(links)
-    member = shared.select("band", "digest", "n").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    member = member.withColumn("root", F.coalesce("root", "digest"))
-    mixed = member.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    member = cut_lineage(member.join(mixed, "band", "left_semi"), "mixed")
-    x, y = member.alias("x"), member.alias("y")
-    rest = x.join(y, F.expr("x.band = y.band AND x.root < y.root")).filter(F.expr(f"least(x.n, y.n) >= greatest(x.n, y.n) * {threshold}"))
-    rest = rest.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
-    rest = cut_lineage(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    more = cut_lineage(verified(rest, texts, threshold), "more")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    return base.select("digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    texts = texts.join(groups.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    units = texts.join(dealt, "digest").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "digest")
+    found = cut_lineage(units.mapInArrow(_links_of_groups(threshold), "a binary, b binary"), "links")
+    roots = components(found).withColumnRenamed("node", "digest")
+    return base.select("digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -187,7 +230,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
     often, and ``one_per_class`` keeps one. Ids may be null (they count as the least) or repeated.
     """
     rows = docs.select(F.col(id).alias("doc_id"), digest(text).alias("digest"))
-    classed = rows.join(near_classes(docs, id, text, threshold), "digest")
+    classed = rows.join(near_classes(docs, text, threshold), "digest")
     first = classed.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("doc_id").alias("class_id"))
     return classed.join(first, "root").select("doc_id", "class_id", F.struct("doc_id", "digest").eqNullSafe(F.col("first")).alias("kept"), "digest")
 

@@ -45,7 +45,8 @@ def query(name: str, sql: str | None = None):
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches: rows hold whole documents."""
+    """Small Arrow batches, as rows hold whole documents; shuffle files go when the statement that made them ends."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))

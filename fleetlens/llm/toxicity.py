@@ -34,6 +34,10 @@ CELLS = 1 << CELL_BITS
 DISCOUNT = 0.9
 #: A word whose ratio is below this says nothing by itself; above, at most ``MOST`` more counts.
 CLEAR, MOST = 3.5, 3.0
+#: Bytes of text walked at once, and codes a task holds before it sends them: both bound its memory.
+SLICE, HELD = 1 << 20, 400_000
+#: Bits of the filter that keeps texts without a label out of the join.
+FILTER_BITS = 23
 
 SYMBOL = np.zeros(256, dtype=np.uint8)
 SYMBOL[97:123] = SYMBOL[65:91] = np.arange(1, 27)
@@ -104,30 +108,38 @@ def _summed(code: np.ndarray, old: tuple[np.ndarray, np.ndarray] | None) -> tupl
     return merged, np.bincount(back, weights=np.concatenate([old[1], n]), minlength=len(merged)).astype(np.int64)
 
 
+KINDS = ("plain", "toxic", "plain_late", "toxic_late")
+
+
 def counts(rows: DataFrame) -> DataFrame:
-    """``cell``, ``before``, ``low``, ``toxic``, ``plain``: the texts of ``rows(text, y)`` that have a beginning of a
-    word, by the cell of the beginning, the cell of the beginning without its last symbol, and its last symbols. Tasks
-    sum before they send."""
+    """``cell``, ``before``, ``low`` and the number of texts of each of ``KINDS`` that have a beginning of a word.
+
+    ``rows(text, kind)``; ``cell`` is the cell of the beginning, ``before`` that of the beginning without its last
+    symbol, ``low`` holds its last symbols. Tasks sum up to ``HELD`` codes before they send them.
+    """
+
+    def batch_of(kind: int, found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        zero = pa.array(np.zeros(len(found[0]), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), *(pa.array(found[1]) if k == kind else zero for k in range(4))], ["code", *KINDS])
 
     def run(batches):
-        sums: dict[int, tuple | None] = {0: None, 1: None}
+        sums: dict[int, tuple] = {}
         for batch in batches:
-            for part, raw, offsets in slices(batch, "text"):
+            for part, raw, offsets in slices(batch, "text", SLICE):
                 walk = Walk(raw, offsets)
                 code = (walk.before << (CELL_BITS + 20)) | (walk.cell << 20) | walk.low
-                toxic = (part.column("y").to_numpy(zero_copy_only=False) == 1)[walk.rows]
-                for y, chosen in ((1, code[toxic]), (0, code[~toxic])):
-                    sums[y] = _summed(chosen, sums[y])
-        for y, found in sums.items():
-            for i in range(0, len(found[0]) if found else 0, 100_000):
-                code, n = found[0][i : i + 100_000], pa.array(found[1][i : i + 100_000])
-                zero = pa.array(np.zeros(len(code), np.int64))
-                part = [code >> 20 & (CELLS - 1), code >> (CELL_BITS + 20), code & (1 << 20) - 1]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in part), n if y else zero, zero if y else n], names)
+                kinds = part.column("kind").to_numpy(zero_copy_only=False)[walk.rows]
+                for kind in np.unique(kinds):
+                    sums[kind] = _summed(code[kinds == kind], sums.get(kind))
+                    if len(sums[kind][0]) > HELD:
+                        yield batch_of(kind, sums.pop(kind))
+        for kind, found in sums.items():
+            yield batch_of(kind, found)
 
-    names = ["cell", "before", "low", "toxic", "plain"]
-    found = rows.select("text", "y").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
-    return found.groupBy("cell", "before", "low").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    found = rows.select("text", "kind").mapInArrow(run, "code bigint, " + ", ".join(f"{c} bigint" for c in KINDS))
+    found = found.groupBy("code").agg(*[F.sum(c).alias(c) for c in KINDS])
+    shift = lambda by, mask: F.shiftright("code", by).bitwiseAND(mask).cast("int")
+    return found.select(shift(20, CELLS - 1).alias("cell"), shift(CELL_BITS + 20, CELLS - 1).alias("before"), shift(0, (1 << 20) - 1).alias("low"), *KINDS)
 
 
 def _kneser_ney(code: np.ndarray, count: np.ndarray, lower: np.ndarray, order: int) -> np.ndarray:
@@ -152,19 +164,23 @@ def _backoff(code: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return _kneser_ney(code, kinds, lower, SHARED)
 
 
-def ratio_tables(rows: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+def ratio_tables(found: DataFrame, late: bool) -> tuple[np.ndarray, np.ndarray] | None:
     """For every cell the log-likelihood ratio of its last symbol (nan where no text has it), and the ratio of the
-    backoff weights behind it. At most one row per cell and per backoff code reaches the driver."""
-    found = cut_lineage(counts(rows), "counts")
-    cells = found.groupBy("cell").agg(F.min("before").alias("before"), F.min("low").alias("low"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    cells = {c: v.to_numpy() for c, v in zip(cells.columns, cells.toArrow().columns, strict=True)}
+    backoff weights behind it, from ``counts``, with or without the calibration fold. At most one row per cell and per
+    backoff code reaches the driver."""
+    toxic, plain = (F.col(k) + F.col(f"{k}_late") if late else F.col(k) for k in ("toxic", "plain"))
+    found = found.select("cell", "before", "low", toxic.alias("toxic"), plain.alias("plain")).filter("toxic + plain > 0")
+    sums = [F.min("before").alias("before"), F.min("low").alias("low"), F.sum("toxic").cast("double").alias("toxic"), F.sum("plain").cast("double").alias("plain")]
+    arrow = found.groupBy("cell").agg(*sums).toArrow()
+    cells = {c: arrow.column(c).to_numpy() for c in arrow.column_names}
+    del arrow
     if not cells["toxic"].any() or not cells["plain"].any():
         return None
     low = found.select("before", "low").distinct().groupBy("low").agg(F.count("*").alias("n")).orderBy("low").toArrow()
     shared = _backoff(low.column("low").to_numpy(), low.column("n").to_numpy().astype(float))[cells["low"]]
     seen, behind = np.zeros(len(shared)), np.zeros(CELLS)
     for sign, y in ((1, "toxic"), (-1, "plain")):
-        count, before = cells[y].astype(float), cells["before"]
+        count, before = cells[y], cells["before"]
         total = np.bincount(before, weights=count, minlength=CELLS)
         kinds = np.maximum(np.bincount(before[count > 0], minlength=CELLS), 1)
         weight = np.where(total > 0, np.minimum(DISCOUNT * kinds / np.maximum(total, 1), 1.0), 1.0)
@@ -212,12 +228,23 @@ def _with_features(docs: DataFrame, keep: str, tables: tuple[np.ndarray, np.ndar
     kind = docs.schema[keep].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.concatenate([features(raw, offsets, *sent.value) for _, raw, offsets in slices(batch, "text")])
+        x = np.concatenate([features(raw, offsets, *sent.value) for _, raw, offsets in slices(batch, "text", SLICE)])
         return pa.RecordBatch.from_arrays([batch.column(keep), *(pa.array(x[:, i]) for i in range(3))], [keep, *NAMES])
 
     return map_batches(docs.select(keep, "text"), work, f"{keep} {kind}, mean double, clear double, words double")
 
 
+def _perhaps_marked(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id may be in ``marks``: a bitmap of ``2^FILTER_BITS`` bits (1 MiB, a fixed size) is
+    broadcast, so most texts without a label need not be shuffled. The join that follows decides."""
+    hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    word, bit = F.shiftright("_hash", 6), F.expr("shiftleft(1L, cast(_hash % 64 as int))")
+    bitmap = marks.select(hash_.alias("_hash")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    rows = docs.withColumn("_hash", hash_).withColumn("_word", word)
+    rows = rows.join(F.broadcast(bitmap), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0)
+    return rows.select(*docs.columns)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for every row of ``docs``.
 
@@ -226,20 +253,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     equal scores. When the training rows lack one of the classes, every score is the share of toxic rows among them (0
     without any).
     """
-    marks = labels.filter(F.col("toxic").isNotNull() & (fold(5) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
+    marks = labels.filter(F.col("toxic").isNotNull() & (fold(5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     texts = docs.select("doc_id", whole_text().alias("text"))
-    train = texts.filter(fold(5) != 0).join(marks, "doc_id").select("text", "y", (fold(5) == 4).alias("calibrate"))
+    kind = F.when(F.col("y") == 1, 1).otherwise(0) + F.when(fold(5) == 4, 2).otherwise(0)
+    train = _perhaps_marked(texts.filter(fold(5) != 0), marks).join(marks, "doc_id").select("text", kind.cast("bigint").alias("kind"))
     train = cut_lineage(train, "training")
-    first, last = ratio_tables(train.filter(~F.col("calibrate"))), ratio_tables(train)
+    found = cut_lineage(counts(train), "counts")
+    first, last = ratio_tables(found, False), ratio_tables(found, True)
     weights = None
     if first is not None and last is not None:
-        x = _with_features(train.filter("calibrate"), "y", first)
+        x = _with_features(train.filter("kind >= 2"), "kind", first)
         cells = x.groupBy(F.round(F.col("mean") * 50), F.round(F.col("clear") * 20), F.round(F.col("words") * 4))
-        cells = cells.agg(*[F.avg(c).alias(c) for c in NAMES], F.sum("y").alias("good"), F.count("y").alias("n")).toPandas()
+        cells = cells.agg(*[F.avg(c).alias(c) for c in NAMES], F.sum(F.col("kind") - 2).alias("good"), F.count("kind").alias("n")).toPandas()
         if cells["good"].sum() > 0:
             weights = logistic(cells[list(NAMES)].to_numpy(), cells["good"].to_numpy(), cells["n"].to_numpy(dtype=float))
     if weights is None:
-        scored = texts.select("doc_id", F.lit(float(train.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0])).alias("score"))
+        scored = texts.select("doc_id", F.lit(float(train.agg(F.coalesce(F.avg(F.col("kind") % 2), F.lit(0.0))).first()[0])).alias("score"))
     else:
         line = sum((F.col(c) * float(w) for c, w in zip(NAMES, weights[:-1], strict=True)), F.lit(float(weights[-1])))
         scored = _with_features(texts, "doc_id", last).select("doc_id", (1 / (1 + F.exp(-line))).alias("score"))

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage."""
 
-from fleetlens.llm import contamination, dart_minhash, language, mixing, phrases, quality, secrets, token_files, toxicity  # noqa: F401
+from fleetlens.llm import contamination, dart_minhash, language, mixing, phrases, quality, secrets, token_files, toxicity, wrappers  # noqa: F401
 from fleetlens.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

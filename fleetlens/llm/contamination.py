@@ -52,7 +52,7 @@ def needed(size: int, threshold: float) -> int:
 
 def with_shingles(rows: DataFrame, text: str) -> DataFrame:
     """Adds ``shingles`` and drops the words."""
-    return rows.withColumn("_words", word_list(text)).withColumn("shingles", shingle_set("_words")).drop("_words")
+    return rows.withColumn("_fl_words", word_list(text)).withColumn("shingles", shingle_set("_fl_words")).drop("_fl_words")
 
 
 def item_samples(items: DataFrame, threshold: float) -> DataFrame:
@@ -81,8 +81,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     known = with_shingles(keyed, "text").select("doc_id", "text_hash", F.explode_outer("shingles").alias("h"))
     hits = known.join(item_samples(wanted, threshold), "h")
     candidates = hits.groupBy("doc_id", "text_hash", "item").agg(F.count_distinct("h").alias("hits"), F.first("need").alias("need"))
-    candidates = candidates.filter("hits >= need").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "item")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    candidates = candidates.filter("hits >= need").select(F.col("doc_id").alias("_fl_id"), F.col("text_hash").alias("_fl_hash"), "item")
+    same = F.col("doc_id").eqNullSafe(F.col("_fl_id")) & (F.col("text_hash") == F.col("_fl_hash"))
     found = with_shingles(keyed.join(candidates, same).select("doc_id", "text_hash", "item", "text"), "text").withColumnRenamed("shingles", "own")
     found = found.join(wanted, "item").withColumn("matched", F.size(F.array_intersect("shingles", "own")).cast("bigint"))
     share = F.col("matched") / F.col("item_shingles")
@@ -92,8 +92,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item, with all columns."""
-    bad = contained_items(docs, items, threshold).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("_hash")), "left_anti")
+    bad = contained_items(docs, items, threshold).select(F.col("doc_id").alias("_fl_id"), F.col("text_hash").alias("_fl_hash")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_fl_id")) & (F.xxhash64(whole_text()) == F.col("_fl_hash")), "left_anti")
 
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"

@@ -237,10 +237,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
 
 def one_per_class(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents without near duplicates: one row of each class, with all columns."""
-    keep = near_duplicates(docs, id, text, threshold).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    rows = docs.withColumn("_key", digest(text))
-    kept = rows.join(keep, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left_semi")
-    return kept.dropDuplicates([id, "_key"]).drop("_key")
+    keep = near_duplicates(docs, id, text, threshold).filter("kept").select(F.col("doc_id").alias("_fl_id"), F.col("digest").alias("_fl_digest")).distinct()
+    rows = docs.withColumn("_fl_key", digest(text))
+    kept = rows.join(keep, F.col(id).eqNullSafe(F.col("_fl_id")) & (F.col("_fl_key") == F.col("_fl_digest")), "left_semi")
+    return kept.dropDuplicates([id, "_fl_key"]).drop("_fl_key")
 
 
 @query("op10_near_duplicates")

@@ -46,7 +46,7 @@ def shares(weights: dict, period: int) -> dict:
 def period_slots(slots: dict, period: int) -> dict:
     """Earliest deadline first over one period: for each source the slots of its blocks, in order."""
     released: list = []
-    later = [(0, -(-period // n), str(s), s, 0) for s, n in slots.items()]
+    later = [(0, -(-period // n), (str(s), s is None), s, 0) for s, n in slots.items()]
     heapq.heapify(later)
     out: dict = {s: [] for s in slots}
     for slot in range(period):
@@ -113,9 +113,9 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_
 def in_mixing_order(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All rows and columns of ``docs``, partitioned and sorted by their slot: written to files in this order, the rows
     of the files follow the schedule."""
-    place = mixed(docs, weights, block_docs).select(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), F.col("slot").alias("_slot"))
-    rows = docs.join(place, F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    rows = rows.repartitionByRange("_slot", "_id").sortWithinPartitions("_slot", "_id")
+    place = mixed(docs, weights, block_docs).select(F.col("source").alias("_fl_source"), F.col("doc_id").alias("_fl_id"), F.col("slot").alias("_fl_slot"))
+    rows = docs.join(place, F.col("source").eqNullSafe(F.col("_fl_source")) & F.col("doc_id").eqNullSafe(F.col("_fl_id")))
+    rows = rows.repartitionByRange("_fl_slot", "_fl_id").sortWithinPartitions("_fl_slot", "_fl_id")
     return rows.select(*docs.columns)
 
 

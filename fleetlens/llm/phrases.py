@@ -14,6 +14,7 @@ estimated share of phrases they have in common (Dice coefficient, 0 to 1).
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,7 @@ def _below(boundaries: list[float], value: Column) -> Column:
     if not boundaries:
         return F.lit(0)
     step = max(1, int(len(boundaries) ** 0.5))
-    literal = lambda x: F.split(F.lit(",".join(map(repr, x))), ",").cast("array<double>")
+    literal = lambda x: F.from_json(F.lit(json.dumps(x)), "array<double>")
     coarse = F.size(F.filter(literal(boundaries[::step]), lambda x: x <= value))
     fine = F.slice(literal(boundaries), (coarse - 1) * step + 1, F.lit(step))
     return F.when(coarse > 0, (coarse - 1) * step + F.size(F.filter(fine, lambda x: x <= value))).otherwise(0)
@@ -154,13 +155,13 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     boundaries = sorted(set(quantiles))
     bucket = _below(boundaries, F.col("doc_id").cast("double")).cast("int")
     heads = docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("head"))
-    heads = sorted((r["bucket"], r["head"]["doc_id"]) for r in heads.collect())
+    heads = sorted(((r["bucket"], r["head"]["doc_id"]) for r in heads.collect()), key=lambda x: x[0])
     if not heads:
         return docs.select(F.lit(0).alias("bucket"), "doc_id", whole_text().alias("text"), F.lit(True).alias("own"))
-    head, before = ["" for _ in range(len(boundaries) + 1)], ["-1"] * (len(boundaries) + 1)
+    head, before = [None] * (len(boundaries) + 1), [-1] * (len(boundaries) + 1)
     for i, (b, first) in enumerate(heads):
-        head[b], before[b] = "" if first is None else str(first), str(heads[i - 1][0])
-    at = lambda x, kind: F.element_at(F.split(F.lit(",".join(x)), ",").cast(f"array<{kind}>"), F.col("bucket") + 1)
+        head[b], before[b] = first, heads[i - 1][0]
+    at = lambda x, kind: F.element_at(F.from_json(F.lit(json.dumps(x)), f"array<{kind}>"), F.col("bucket") + 1)
     rows = docs.select("doc_id", whole_text().alias("text"), bucket.alias("bucket"))
     first = F.col("doc_id").eqNullSafe(at(head, "bigint"))
     own = F.struct("bucket", F.lit(True).alias("own"), F.lit(0).alias("late"))

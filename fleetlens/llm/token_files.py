@@ -32,8 +32,9 @@ MAGIC = b"FLTOKENS"
 BLOCK_IDS = 1 << 16
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Encoded pieces of text kept in a Python worker; at most about 150 MB.
-PIECES = 600_000
+#: Encoded pieces of text kept in a Python worker; at most about 250 MB. Beyond, only pieces of at most ``SHORT``
+#: characters stay, as these are the frequent ones.
+PIECES, SHORT = 1_000_000, 9
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -164,8 +165,8 @@ class Encoder:
         """Ids of each text as little-endian uint32."""
         pieces = [pieces_of(t) for t in texts]
         if len(self.known) > PIECES:
-            self.known = {}
-        missing = [p for p in set().union(*pieces) if p not in self.known]
+            self.known = {p: ids for p, ids in self.known.items() if len(p) <= SHORT}
+        missing = list(set().union(*pieces).difference(self.known))
         for piece, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
             self.known[piece] = struct.pack(f"<{len(found.ids)}I", *found.ids)
         get = self.known.__getitem__

@@ -119,7 +119,7 @@ def folded(signatures: list[str]) -> tuple[list[str], list[int]]:
                     del nodes[-n:], keys[-n:]
                     again = True
                     break
-                if 2 * n <= len(nodes) and keys[-n:] == keys[-2 * n : -n] and not (n == 1 and nodes[-1][1] is not None):
+                if 2 * n <= len(nodes) and keys[-n:] == keys[-2 * n : -n] and not (n == 1 and nodes[-1][1] is not None) and _whole(keys[-n:]):
                     run, twin = nodes[-2 * n : -n], nodes[-n:]
                     for c, x in zip(run, twin, strict=True):
                         _join(c, x)
@@ -135,6 +135,20 @@ def folded(signatures: list[str]) -> tuple[list[str], list[int]]:
     return out, place
 
 
+def _whole(run: list) -> bool:
+    """Whether a run begins with a tag that opens and closes none that it has not opened: of the turns of a repeated run
+    only the one that follows the elements is folded."""
+    if run[0] == "#" or (isinstance(run[0], str) and run[0].startswith("</")):
+        return False
+    depth = 0
+    for key in run:
+        if isinstance(key, str) and key != "#":
+            depth += -1 if key.startswith("</") else key.strip("<>").split(" ", 1)[0] not in VOID
+            if depth < 0:
+                return False
+    return True
+
+
 def _join(a: list, b: list) -> None:
     if a[1] is None:
         a[2] += b[2]
@@ -255,10 +269,23 @@ def _in_article(path: str) -> bool:
     return any(p.split(" ", 1)[0] in ARTICLE or p.endswith(" main") for p in path.split("|"))
 
 
+def _alone(wrapper: list[list], i: int, step: int) -> bool:
+    """Whether the next tag on that side is one of a block, so the slot does not share its block with other text."""
+    i += step
+    while 0 <= i < len(wrapper) and wrapper[i][0] in ("(", ")+"):
+        i += step
+    if not 0 <= i < len(wrapper):
+        return True
+    return wrapper[i][0] != "#" and wrapper[i][0].strip("</>").split(" ", 1)[0] not in INLINE
+
+
 def main_slots(wrapper: list[list]) -> list[bool]:
     """For each node whether it is a slot of the main text."""
     plain = [slot is not None and not _boilerplate(slot[5]) for _, _, slot in wrapper]
-    fixed = [slot is not None and slot[1] == slot[2] and len(slot[6]) >= SAME for _, _, slot in wrapper]
+    fixed = [
+        slot is not None and slot[1] == slot[2] and len(slot[6]) >= SAME and _alone(wrapper, i, -1) and _alone(wrapper, i, 1)
+        for i, (_, _, slot) in enumerate(wrapper)
+    ]
     if any(p and _in_article(n[2][5]) for p, n in zip(plain, wrapper, strict=True)):
         return [p and not f and _in_article(n[2][5]) for p, f, n in zip(plain, fixed, wrapper, strict=True)]
     mass: dict[str, int] = {}

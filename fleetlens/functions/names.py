@@ -1,4 +1,9 @@
-"""Fact names and their readable forms."""
+"""Fact names and their readable forms.
+
+Fixed values: the forms ``owner::lib`` of npm packages, ``Kind::namespace::name``
+of Kubernetes specs and ``group:artifact`` of Maven coordinates are formats that
+stored facts have.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +19,10 @@ def npm_name_encode(lib: Column) -> Column:
 
 def npm_name_decode(name: Column) -> Column:
     """owner::lib -> @owner/lib; lib -> lib; null when it is neither."""
-    owner = F.regexp_extract(name, "^([^:]+)(::.*)?$", 1)
-    rest = F.regexp_extract(name, "^([^:]+)(::.*)?$", 2)
-    return F.when(
-        name.rlike("^([^:]+)(::.*)?$"),
-        F.when(rest != "", F.concat(F.lit("@"), owner, F.lit("/"), F.substr(rest, F.lit(3)))).otherwise(owner),
-    )
+    at = F.instr(name, "::")
+    owner = F.when(at > 0, F.substr(name, F.lit(1), at - 1)).otherwise(name)
+    full = F.when(at > 0, F.concat(F.lit("@"), owner, F.lit("/"), F.substr(name, at + 2))).otherwise(name)
+    return F.when((owner != "") & ~F.contains(owner, F.lit(":")), full)
 
 
 def k8s_name(kind: Column, namespace: Column, name: Column) -> Column:

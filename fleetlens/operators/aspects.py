@@ -49,12 +49,12 @@ BOOT_VERSION = Aspect(x.BOOT_VERSION, "Spring Boot Version", "pom.xml", x.spring
 LEIN = Aspect(x.LEIN, "Clojure dependencies", "project.clj", x.lein_dependencies)
 TRAVIS = Aspect(x.TRAVIS, "Travis scripts", ".travis.yml", x.travis_scripts, "document")
 K8S = Aspect(x.K8S, "Kubernetes specs", "*.@(json|yaml|yml)", x.k8s_specs, "spec")
-DOCKER_FROM = Aspect(x.DOCKER_FROM, "Docker base images", "Dockerfile", x.docker_from)
+DOCKER_FROM = Aspect(x.DOCKER_FROM, "Docker base images", "**/Dockerfile", x.docker_from)
 DOCKER_PATH = Aspect(x.DOCKER_PATH, "Dockerfile path", "**/Dockerfile", x.dockerfile_path, "path")
-DOCKER_PORTS = Aspect(x.DOCKER_PORTS, "Exposed ports", "Dockerfile", x.docker_ports)
+DOCKER_PORTS = Aspect(x.DOCKER_PORTS, "Exposed ports", "**/Dockerfile", x.docker_ports)
 LICENSE = Aspect(x.LICENSE, "License", "LICENSE", x.licenses)
 OWNERSHIP = Aspect(x.OWNERSHIP, "Code ownership", "CODEOWNERS", x.code_owners)
-SECRETS = Aspect(x.SECRET, "Exposed secrets", "**/*.env", x.exposed_secrets, "both")
+SECRETS = Aspect(x.SECRET, "Exposed secrets", "**", x.exposed_secrets, "both")
 METRICS = Aspect(x.METRICS, "Code metrics", "src/**", x.source_lines, "both")
 
 ASPECTS = [
@@ -164,10 +164,6 @@ def rejects(files: DataFrame) -> DataFrame:
     )
 
 
-def visible_types() -> list[str]:
-    return sorted(t for t, shown in DISPLAY_NAMES.items() if shown is not None)
-
-
 def without_hidden(facts: DataFrame) -> DataFrame:
     """Facts of aspects that reports show."""
     hidden = sorted(t for t, shown in DISPLAY_NAMES.items() if shown is None)

@@ -27,9 +27,9 @@ def fingerprint_diff(facts: DataFrame, pushes: DataFrame) -> DataFrame:
     push as the state before it; one aggregation on (push, type, name) then
     sees both sides. That is a full outer join of the two states with one scan
     and one shuffle of the facts, keyed finely enough that no repository is hot.
-    The first push of a repository has nothing to differ from. A snapshot has
-    one fact per (type, name); of several, the one with the greatest hash stands
-    for the name.
+    The first push of a repository has nothing to differ from. A snapshot may
+    have several facts of one (type, name): the two sets are compared. One fact
+    for one other is a change; anything else is told as removals and additions.
     """
     state = F.struct("sha", "data")
     roles = F.array_compact(F.array(
@@ -42,15 +42,19 @@ def fingerprint_diff(facts: DataFrame, pushes: DataFrame) -> DataFrame:
         .select("repo", F.explode(roles).alias("r"), "type", "name", state.alias("s"))
     )
     sides = spread.groupBy("repo", F.col("r.at").alias("push_id"), "type", "name").agg(
-        F.max(F.when(~F.col("r.after"), F.col("s"))).alias("before"),
-        F.max(F.when(F.col("r.after"), F.col("s"))).alias("after"),
+        F.collect_set(F.when(~F.col("r.after"), F.col("s"))).alias("_old"),
+        F.collect_set(F.when(F.col("r.after"), F.col("s"))).alias("_new"),
     )
-    change = (
-        F.when(F.col("before").isNull(), "added")
-        .when(F.col("after").isNull(), "removed")
-        .when(F.col("before.sha") != F.col("after.sha"), "changed")
+    gone, come = F.array_except("_old", "_new"), F.array_except("_new", "_old")
+    sides = sides.select("repo", "push_id", "type", "name", gone.alias("_gone"), come.alias("_come"))
+    none = F.lit(None).cast("struct<sha:string,data:string>")
+    swap = F.array(F.struct(F.lit("changed").alias("change"), F.get("_gone", F.lit(0)).alias("before"), F.get("_come", F.lit(0)).alias("after")))
+    each = F.concat(
+        F.transform("_gone", lambda x: F.struct(F.lit("removed").alias("change"), x.alias("before"), none.alias("after"))),
+        F.transform("_come", lambda x: F.struct(F.lit("added").alias("change"), none.alias("before"), x.alias("after"))),
     )
-    return sides.withColumn("change", change).filter(F.col("change").isNotNull()).select(
+    rows = F.when((F.size("_gone") == 1) & (F.size("_come") == 1), swap).otherwise(each)
+    return sides.select("repo", "push_id", "type", "name", F.explode(rows).alias("_c")).select("repo", "push_id", "type", "name", "_c.*").select(
         "repo", "push_id", "type", "name", "change",
         F.col("before.sha").alias("from_sha"), F.col("after.sha").alias("to_sha"),
         F.col("before.data").alias("from_data"), F.col("after.data").alias("to_data"),

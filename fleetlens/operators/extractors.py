@@ -15,6 +15,7 @@ from fleetlens.functions.names import k8s_name, maven_name, npm_name_encode
 from fleetlens.functions.payload import item, json_text, no_items
 from fleetlens.functions.text import SPACE, extract_or_null, line_count, matches, once, unix_lines
 
+# Names of the fact types.
 NPM = "npm-project-deps"
 NPM_COORDINATES = "npm-project-coordinates"
 TYPESCRIPT = "typescript-version"
@@ -54,6 +55,18 @@ LANGUAGES = {
     "ps1": "PowerShell",
     "cs": "C#",
     "clj": "Clojure",
+    "go": "Go",
+    "rs": "Rust",
+    "rb": "Ruby",
+    "kt": "Kotlin",
+    "scala": "Scala",
+    "swift": "Swift",
+    "php": "PHP",
+    "c": "C",
+    "h": "C",
+    "cpp": "C++",
+    "tsx": "TypeScript",
+    "jsx": "JavaScript",
 }
 
 # Our definitions: secret kinds and the text that gives one away.
@@ -66,16 +79,18 @@ SECRETS = {
 
 
 def npm_dependencies(content: Column) -> Column:
-    """Merged dependencies and devDependencies; the dev entry wins."""
+    """Merged dependencies and devDependencies; the dev entry wins, and of doubled keys the last one."""
     manifest = F.from_json(content, "dependencies map<string,string>, devDependencies map<string,string>")
     empty = F.from_json(F.lit("{}"), "map<string,string>")
-    merged = F.map_zip_with(
-        F.coalesce(manifest["dependencies"], empty),
-        F.coalesce(manifest["devDependencies"], empty),
-        lambda lib, runtime, dev: F.coalesce(dev, runtime),
-    )
+    runtime, dev = (F.map_entries(F.coalesce(manifest[k], empty)) for k in ("dependencies", "devDependencies"))
+
+    def last_of_each(entries):
+        libs = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        last = F.transform(libs, lambda lib: F.element_at(F.filter(entries, lambda e: e["key"] == lib), -1))
+        return F.when(F.size(libs) < F.size(entries), last).otherwise(entries)
+
     return F.transform(
-        F.map_entries(merged),
+        once(F.concat(runtime, dev), last_of_each),
         lambda e: item(NPM, npm_name_encode(e["key"]), F.to_json(F.array(e["key"], e["value"]))),
     )
 
@@ -169,8 +184,11 @@ def maven_parent(content: Column) -> Column:
 
 
 def _declared(content: Column) -> Column:
-    """Dependency blocks the project itself declares, not those it only manages."""
-    own = F.regexp_replace(content, "(?s)<dependencyManagement>.*?</dependencyManagement>", "")
+    """Dependency blocks the project itself declares: not in comments, not managed only, not those of build plugins or
+    profiles, and without what they exclude."""
+    own = F.regexp_replace(content, "(?s)<!--.*?-->", "")
+    for block in ("dependencyManagement", "build", "profiles", "reporting", "exclusions"):
+        own = F.regexp_replace(own, f"(?s)<{block}>.*?</{block}>", "")
     return F.filter(
         F.transform(matches(own, "(?s)<dependency>.*?</dependency>"), _gav),
         lambda d: d["group"].isNotNull() & d["artifact"].isNotNull(),
@@ -338,8 +356,9 @@ def language_of(path: Column) -> Column:
 
 
 def source_lines(path: Column, content: Column) -> Column:
-    """Lines of one source file, named by language; summed up by the metrics."""
-    return F.array(item(METRICS, language_of(path), line_count(content)))
+    """Lines of one source file, named by language; summed up by the metrics. Files of no known language give none."""
+    language = language_of(path)
+    return F.when(language.isNotNull(), F.array(item(METRICS, language, line_count(content)))).otherwise(no_items())
 
 
 def markup_matches(content: Column, pattern: str, group: int = 1) -> Column:

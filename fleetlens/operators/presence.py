@@ -158,14 +158,15 @@ def virtual_projects(files: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def assign_projects(files: DataFrame, projects: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, path, project): the deepest project folder above each file.
+    """(keys, path, project): the deepest project folder above each file; the
+    root (an empty name) when no folder above it is a project.
 
     A longest-prefix match as an equi join: a file is joined once per folder
     above it, which is bounded by the depth of its path.
     """
     above = files.select(*keys, "path", F.explode(ancestors(F.col("path"))).alias("project"))
     return (
-        above.join(projects, [*keys, "project"])
+        above.join(projects.withColumn("_found", F.lit(True)), [*keys, "project"], "left")
         .groupBy(*keys, "path")
-        .agg(F.max_by("project", F.length("project")).alias("project"))
+        .agg(F.coalesce(F.max_by("project", F.when(F.col("_found"), F.length("project"))), F.lit("")).alias("project"))
     )

@@ -23,10 +23,12 @@ def _replacement(text: Column) -> Column:
 
 
 def set_library_version(content: Column, lib: Column, version: Column) -> Column:
-    """Rewrite every ``"lib": "..."`` entry of a package manifest."""
-    pattern = F.concat(F.lit('"'), _literal(lib), F.lit('":\\s*"[^"]*"'))
+    """Rewrite the ``"lib": "..."`` entry of the dependencies and of the devDependencies of a package manifest; text of
+    other sections (scripts, say) stays."""
+    section = '(?<head>"(?:dependencies|devDependencies)"\\s*:\\s*\\{[^{}]*?)"'
+    pattern = F.concat(F.lit(section), _literal(lib), F.lit('"\\s*:\\s*"[^"]*"'))
     entry = F.concat(F.lit('"'), lib, F.lit('": "'), version, F.lit('"'))
-    return F.regexp_replace(content, pattern, _replacement(entry))
+    return F.regexp_replace(content, pattern, F.concat(F.lit("${head}"), _replacement(entry)))
 
 
 def set_parent_version(content: Column, group: Column, artifact: Column, version: Column) -> Column:

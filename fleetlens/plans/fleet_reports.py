@@ -129,6 +129,13 @@ def _usage_over_time(fleet: Fleet) -> DataFrame:
     return r.usage_over_time(with_push_time(_with_value(npm_facts(fleet, default_pushes(fleet))), fleet))
 
 
-@query("approx_variants")
+@query(
+    "approx_variants",
+    with_ctes(
+        """SELECT type, name, count(*) AS uses, count(DISTINCT sha) AS exact, true AS close
+        FROM dep JOIN pushes USING (push_id) WHERE is_default GROUP BY type, name""",
+        "dep", "pushes",
+    ),
+)
 def _approx_variants(fleet: Fleet) -> DataFrame:
-    return r.approx_variants(npm_facts(fleet, default_pushes(fleet)))
+    return r.approx_variants_check(npm_facts(fleet, default_pushes(fleet)))

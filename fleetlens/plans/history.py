@@ -238,9 +238,6 @@ def _display_name(fleet: Fleet) -> DataFrame:
     return named.select("type", "name", display_name(F.col("type"), F.col("name")).alias("display"))
 
 
-_hidden = ", ".join(f"'{t}'" for t, shown in DISPLAY_NAMES.items() if shown is None)
-
-
 @query(
     "hidden_aspects",
     with_ctes(

@@ -90,7 +90,8 @@ def read_files_table(spark: SparkSession, location: str, fmt: str = "parquet") -
 def read_checkouts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Working copies laid out as ``<root>/<owner>/<repo>/<path>`` as a files table.
 
-    Only files whose name matches ``glob`` are opened.
+    Only files whose name matches ``glob`` are opened. Files that are not UTF-8
+    text keep their row, with a null content: rules on paths still see them.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -99,7 +100,9 @@ def read_checkouts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame
         .load(root)
         .select("path", "content")
     )
-    inner = F.regexp_replace(F.col("path"), f"^(?:file:)?/*{re.escape(root.strip('/'))}/*", "")
+    without_store = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+    folder = re.sub(without_store, "", root).strip("/")
+    inner = F.regexp_replace(F.regexp_replace(F.col("path"), without_store, ""), f"^/*{re.escape(folder)}/*", "")
     parts = F.split(inner, "/", 3)
     return raw.select(
         F.lit(None).cast("string").alias("workspace"),
@@ -107,10 +110,11 @@ def read_checkouts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame
         F.get(parts, F.lit(1)).alias("repo"),
         F.lit(0).cast("bigint").alias("push_id"),
         F.get(parts, F.lit(2)).alias("path"),
-        F.decode(F.col("content"), "UTF-8").alias("content"),
+        F.try_validate_utf8(F.col("content").cast("string")).alias("content"),
     ).filter(F.col("path").isNotNull())
 
 
 def write_files_table(files: DataFrame, location: str) -> None:
-    """Store a files table for path lookups: rows of one path sit together."""
-    files.sortWithinPartitions("path").write.partitionBy("workspace").parquet(location)
+    """Store a files table for path lookups: files hold narrow, sorted ranges of paths."""
+    ranged = files.repartitionByRange("workspace", "path").sortWithinPartitions("workspace", "path")
+    ranged.write.partitionBy("workspace").parquet(location)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,16 +18,17 @@ def incremental_scope(scope: DataFrame, stored: DataFrame, update: bool = False)
 
 
 def upsert(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Newest row per (repo, type, name) of both inputs; needs a ``ts`` column.
+    """The facts of the newest push per (repo, type, name) of both inputs; needs a ``ts`` column.
 
-    An aggregation, not a window: it keeps one row per key and task before the
-    shuffle, so a repository with many analyses does not fill a partition.
+    A push may have several facts of one name (owners, secrets, images): all of
+    them stay, equal ones once. Spark keeps only rows of rank 1 of a task before
+    it shuffles, so a repository with many analyses does not fill a partition.
     """
     keys = ["repo", "type", "name"]
     both = stored.unionByName(fresh)
-    rest = [c for c in both.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct("ts", "push_id", "sha"))
-    return both.groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*").select(*both.columns)
+    age = Window.partitionBy(*keys).orderBy(F.col("ts").desc(), F.col("push_id").desc())
+    newest = both.withColumn("_rank", F.rank().over(age)).filter("_rank = 1").drop("_rank")
+    return newest.dropDuplicates([*keys, "sha"])
 
 
 def latest_state(facts: DataFrame, latest_pushes: DataFrame) -> DataFrame:

@@ -111,15 +111,18 @@ def folded(signatures: list[str]) -> tuple[list[str], list[int]]:
         again = True
         while again:
             again = False
+            last = keys[-1]
             for n in range(1, min(LONGEST_RUN, len(nodes) - 1) + 1):
                 before = nodes[-n - 1]
+                if before[1] is None and before[0] != last:
+                    continue
                 if before[1] is not None and len(before[1]) == n and keys[-n:] == [c[0] for c in before[1]]:  # one more of a group
                     for c, x in zip(before[1], nodes[-n:], strict=True):
                         _join(c, x)
                     del nodes[-n:], keys[-n:]
                     again = True
                     break
-                if 2 * n <= len(nodes) and keys[-n:] == keys[-2 * n : -n] and not (n == 1 and nodes[-1][1] is not None) and _whole(keys[-n:]):
+                if before[0] == last and 2 * n <= len(nodes) and keys[-n:] == keys[-2 * n : -n] and not (n == 1 and nodes[-1][1] is not None) and _whole(keys[-n:]):
                     run, twin = nodes[-2 * n : -n], nodes[-n:]
                     for c, x in zip(run, twin, strict=True):
                         _join(c, x)

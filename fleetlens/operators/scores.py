@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import clamp
+from fleetlens.session import cut_lineage
 
 # Parameters of the repository scorers.
 ANCHOR = 2.0
@@ -15,6 +16,7 @@ LINE_LIMIT = 30000
 LANGUAGE_LINE_LIMITS = {"yaml": (500, 200), "powershell": (200, 100), "shell": (200, 100)}
 RECENT_DAYS = 30
 
+
 def _c(name: str) -> Column:
     return F.col(name)
 
@@ -83,16 +85,21 @@ def score_repos(profile: DataFrame, wanted: dict[str, tuple[Column, Column]]) ->
 def total_scores(repo_scores: DataFrame) -> DataFrame:
     """Mean of the given scores per repo (six decimals), and its rank in the fleet.
 
-    The rank counts repositories with a higher mean. It is taken over the
-    distinct means, at most four million of six decimals between 1 and 5,
-    however many repositories there are.
+    The rank counts repositories with a higher mean. Means are counted by value;
+    values of one thousandth form a band, so a window holds a thousand values or
+    the four thousand bands between 1 and 5, however many repositories there are.
     """
     millionths = F.sum(F.round(F.col("score") * 1000000).cast("bigint"))
     rounded = F.floor((2 * millionths + F.count("score")) / (2 * F.count("score")))
-    means = repo_scores.groupBy("repo").agg((rounded / 1000000).alias("total_score"))
-    sizes = means.groupBy("total_score").agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.orderBy(F.desc("total_score")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = sizes.select("total_score", (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias("rank"))
+    means = cut_lineage(repo_scores.groupBy("repo").agg((rounded / 1000000).alias("total_score")), "means")
+    sizes = means.groupBy("total_score").agg(F.count(F.lit(1)).alias("_n")).withColumn("_band", F.floor(F.col("total_score") * 1000))
+
+    def before(*keys):
+        return F.coalesce(F.sum("_n").over(Window.partitionBy(*keys[:-1]).orderBy(F.desc(keys[-1])).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    bands = sizes.groupBy("_band").agg(F.sum("_n").alias("_n")).select("_band", before("_band").alias("_above"))
+    ranks = sizes.select("total_score", "_band", before("_band", "total_score").alias("_within")).join(bands, "_band")
+    ranks = ranks.select("total_score", (F.col("_above") + F.col("_within") + 1).alias("rank"))
     return means.join(ranks, "total_score").select("repo", "total_score", "rank")
 
 

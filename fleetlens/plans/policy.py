@@ -12,6 +12,7 @@ from fleetlens.operators.diff import diff_summary, fingerprint_diff
 from fleetlens.plans.registry import query
 from fleetlens.plans.sources import default_pushes, npm_facts, with_push_time
 from fleetlens.plans.sql import LIB, with_ctes
+from fleetlens.session import cut_lineage
 from fleetlens.sources.driver import Fleet
 
 
@@ -41,7 +42,7 @@ def _fingerprint_diff(fleet: Fleet) -> DataFrame:
 
 
 def _deviations(fleet: Fleet) -> DataFrame:
-    facts = latest_npm(fleet)
+    facts = cut_lineage(latest_npm(fleet), "facts")  # read twice, extracted once
     return targets.target_diff(facts, targets.modal_targets(facts))
 
 
@@ -93,7 +94,7 @@ def _target_asof(fleet: Fleet) -> DataFrame:
     ),
 )
 def _policy_compliance(fleet: Fleet) -> DataFrame:
-    facts = latest_npm(fleet)
+    facts = cut_lineage(latest_npm(fleet), "facts")
     return targets.policy_compliance(facts, targets.modal_targets(facts))
 
 
@@ -128,7 +129,7 @@ _PARENT_LATEST = "SELECT latest.repo, latest.branch, parent.* FROM parent JOIN l
 def _diff_summary(fleet: Fleet) -> DataFrame:
     latest = fleet.latest_pushes()
     files = fleet.files(["package.json", "pom.xml", "module/pom.xml", "deploy"], latest)
-    facts = extract_facts(files, [a.NPM, a.PARENT_POM, a.K8S])
+    facts = cut_lineage(extract_facts(files, [a.NPM, a.PARENT_POM, a.K8S]), "facts")
     deviations = targets.target_diff(facts, targets.modal_targets(facts))
     located = deviations.join(latest.select("repo", "branch"), "repo").join(fleet.repos(), "repo")
     return diff_summary(located.select(
@@ -194,7 +195,7 @@ def _ideal_versions(fleet: Fleet) -> DataFrame:
 )
 def _npm_remediation(fleet: Fleet) -> DataFrame:
     files = fleet.files(["package.json"], fleet.latest_pushes())
-    facts = extract_facts(files, [a.NPM])
+    facts = cut_lineage(extract_facts(files, [a.NPM]), "facts")
     fixed = remediate.npm_remediation(files, targets.target_diff(facts, targets.modal_targets(facts)))
     return fixed.select("repo", "push_id", "path", "edits", F.sha2("content", 256).alias("content_sha"))
 
@@ -212,7 +213,7 @@ def _parent_pom_remediation(fleet: Fleet) -> DataFrame:
     """Rewritten POMs are read again: the parent found there is the target."""
     keys = ["repo", "push_id", "path"]
     files = fleet.files(["pom.xml", "module/pom.xml"], fleet.latest_pushes())
-    facts = extract_facts(files, [a.PARENT_POM], keys)
+    facts = cut_lineage(extract_facts(files, [a.PARENT_POM], keys), "facts")
     fixed = remediate.parent_pom_remediation(files, targets.target_diff(facts, targets.modal_targets(facts)))
     reread = extract_facts(fixed, [a.PARENT_POM], [*keys, "edits"])
     fields = [F.get_json_object("data", f"$.{f}").alias(c) for f, c in (("group", "grp"), ("artifact", "artifact"), ("version", "version"))]
@@ -238,7 +239,7 @@ def _parent_pom_remediation(fleet: Fleet) -> DataFrame:
 )
 def _k8s_remediation(fleet: Fleet) -> DataFrame:
     files = fleet.files(["deploy"], fleet.latest_pushes())
-    specs = extract_facts(files, [a.K8S], ["repo", "push_id", "path"])
+    specs = cut_lineage(extract_facts(files, [a.K8S], ["repo", "push_id", "path"]), "facts")
     return remediate.k8s_remediation(specs, targets.modal_targets(specs).select("type", "name", "target_data"))
 
 
@@ -253,5 +254,5 @@ def _k8s_remediation(fleet: Fleet) -> DataFrame:
     ),
 )
 def _typescript_remediation(fleet: Fleet) -> DataFrame:
-    facts = extract_facts(fleet.files(["package.json"], fleet.latest_pushes()), [a.TYPESCRIPT])
+    facts = cut_lineage(extract_facts(fleet.files(["package.json"], fleet.latest_pushes()), [a.TYPESCRIPT]), "facts")
     return remediate.typescript_remediation(facts, targets.modal_targets(facts))

@@ -122,18 +122,22 @@ CHANGE_FIELDS = ["repo", "type", "name", "push_id", "from_sha", "to_sha"]
 def batch_changes(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Changes a micro-batch brings per (repo, type, name), given the state before it.
 
-    The state row of a key comes before its new rows. Rows are numbered across
-    ranges and compared with their predecessor by an equi join, so a key that
-    fills a third of a batch is spread like any other.
+    Rows are in the order of their events, so a late push never counts as newer
+    than the state. When it stands right before the state row of its key and
+    differs, the change of that later push is told again, now from the late
+    push. Rows are numbered across ranges and compared with their predecessor by
+    an equi join, so a key that fills a third of a batch is spread like any other.
     """
     key = F.to_json(F.struct("repo", "type", "name"))
     rows = state.select(*STATE_FIELDS, F.lit(False).alias("_new")).unionByName(
         batch.select(*STATE_FIELDS, F.lit(True).alias("_new"))
     )
-    numbered = number_rows(rows.withColumn("_fact", key), "_fact", ["_new", "ts", "push_id", "sha"])
-    before = numbered.select(F.col("_fact").alias("_f"), (F.col("seq") + 1).alias("_s"), F.col("sha").alias("from_sha"))
+    numbered = number_rows(rows.withColumn("_fact", key), "_fact", ["ts", "push_id", "_new", "sha"])
+    before = numbered.select(
+        F.col("_fact").alias("_f"), (F.col("seq") + 1).alias("_s"), F.col("sha").alias("from_sha"), F.col("_new").alias("_late")
+    )
     joined = numbered.join(before, (F.col("_fact") == F.col("_f")) & (F.col("seq") == F.col("_s")))
-    return joined.filter(F.col("_new") & (F.col("from_sha") != F.col("sha"))).select(
+    return joined.filter((F.col("_new") | F.col("_late")) & (F.col("from_sha") != F.col("sha"))).select(
         "repo", "type", "name", "push_id", "from_sha", F.col("sha").alias("to_sha")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators.diff import fingerprint_diff
 from fleetlens.sources.files import read_checkouts
 from fleetlens.sources.store import upsert
+from fleetlens.streaming.jobs import batch_changes
 
 FACT = "repo string, push_id bigint, ts timestamp, type string, name string, sha string, data string"
 
@@ -34,3 +35,12 @@ def test_checkouts_with_binary_files(spark, tmp_path):
     (tmp_path / "me" / "app" / "y.txt").write_text("é")
     rows = sorted((r.owner, r.repo, r.path, r.content) for r in read_checkouts(spark, str(tmp_path)).collect())
     assert rows == [("me", "app", "x.png", None), ("me", "app", "y.txt", "é")]
+
+
+def test_late_push_is_no_change_back_in_time(spark):
+    columns = "repo string, type string, name string, push_id bigint, ts timestamp, sha string"
+    rows = lambda *r: spark.createDataFrame([("r", "t", "n", p, None, sha) for p, sha in r], columns).withColumn("ts", F.timestamp_seconds("push_id"))
+    late = batch_changes(rows((5, "e")), rows((3, "c"))).collect()
+    assert [(r.push_id, r.from_sha, r.to_sha) for r in late] == [(5, "c", "e")]
+    newer = batch_changes(rows((5, "e")), rows((6, "e"), (7, "f"))).collect()
+    assert [(r.push_id, r.from_sha, r.to_sha) for r in newer] == [(7, "e", "f")]

@@ -149,19 +149,19 @@ def rejects(files: DataFrame) -> DataFrame:
     """Files an extractor could not read: (keys, path, aspect, error). Malformed
     input never stops a job and is never lost silently."""
     path, content = F.col("path"), F.col("content")
-    bad_json = F.try_parse_json(content).isNull()
-    is_json = path.isin("package.json", "tslint.json")
-    broken_json = files.filter(is_json & bad_json)
-    broken_yaml = files.filter(path == ".travis.yml").withColumn("_d", yaml_or_json(content)).filter("_d IS NULL").drop("_d")
-    return (
-        broken_json.unionByName(broken_yaml)
-        .select(
-            *KEYS,
-            "path",
-            F.when(path == "package.json", x.NPM).when(path == "tslint.json", x.TSLINT).otherwise(x.TRAVIS).alias("aspect"),
-            F.when(is_json, "not JSON").otherwise("neither YAML nor JSON").alias("error"),
-        )
-    )
+    at_root = ~F.contains(path, F.lit("/"))
+    is_json = at_root & F.endswith(path, F.lit(".json"))
+    is_yaml = at_root & (F.endswith(path, F.lit(".yml")) | F.endswith(path, F.lit(".yaml")))
+    broken_json = files.filter(is_json & content.isNotNull() & F.try_parse_json(content).isNull())
+    # several documents in one file are no fault; they just give no fact
+    one_document = ~content.rlike("(?m)^---") & (F.trim(content) != "")
+    broken_yaml = files.filter(is_yaml & one_document).withColumn("_d", yaml_or_json(content)).filter("_d IS NULL").drop("_d")
+    known = {"package.json": x.NPM, "tslint.json": x.TSLINT, ".travis.yml": x.TRAVIS}
+    aspect = F.lit(x.K8S)
+    for name, type_ in known.items():
+        aspect = F.when(path == name, type_).otherwise(aspect)
+    error = F.when(is_json, "not JSON").otherwise("neither YAML nor JSON")
+    return broken_json.unionByName(broken_yaml).select(*KEYS, "path", aspect.alias("aspect"), error.alias("error"))
 
 
 def without_hidden(facts: DataFrame) -> DataFrame:

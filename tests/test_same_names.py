@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens.operators.aspects import rejects
 from fleetlens.operators.diff import fingerprint_diff
 from fleetlens.sources.files import read_checkouts
 from fleetlens.sources.store import upsert
@@ -44,3 +45,8 @@ def test_late_push_is_no_change_back_in_time(spark):
     assert [(r.push_id, r.from_sha, r.to_sha) for r in late] == [(5, "c", "e")]
     newer = batch_changes(rows((5, "e")), rows((6, "e"), (7, "f"))).collect()
     assert [(r.push_id, r.from_sha, r.to_sha) for r in newer] == [(7, "e", "f")]
+
+
+def test_all_broken_documents_are_listed(files):
+    df = files(p=[("bad.yml", "a: [1"), ("bad.json", "{"), ("good.yml", "a: 1"), ("two.yml", "---\na: 1\n---\nb: 2\n"), ("tslint.json", "x")])
+    assert sorted((r.path, r.aspect) for r in rejects(df).collect()) == [("bad.json", "k8s-specs"), ("bad.yml", "k8s-specs"), ("tslint.json", "tslint")]

@@ -6,8 +6,8 @@ the labels of a position depend on its word alone: every different word of a bat
 text does not depend on its length. The logs of the distributions at all letters of a text are added and normalised:
 the pooled probabilities of the document.
 
-Training takes a bounded sample, at most ``SAMPLE_DOCS`` texts of each language (those with the least hash of id and
-text), and backpropagation through time with Adam. Only the sample reaches the driver.
+Training takes a bounded sample, at most ``SAMPLE_DOCS`` texts of each language (those with the least hash of the id; of
+several texts of one id the least), and backpropagation through time with Adam. Only the sample reaches the driver.
 """
 
 from __future__ import annotations
@@ -167,9 +167,12 @@ class BiGru:
 
 def train(docs: DataFrame) -> BiGru | None:
     """A network from ``docs(doc_id, text, lang)``; None if no row has a language and a letter."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    known = docs.filter(F.col("lang").isNotNull()).select("doc_id", whole_text().alias("text"), "lang")
-    sample = known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= SAMPLE_DOCS).select("lang", "text").orderBy("lang", F.xxhash64("text")).toArrow()
+    # ids are chosen without their texts, and only the chosen texts are read and moved
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = docs.filter(F.col("lang").isNotNull()).select("doc_id", "lang", whole_text().alias("text"))
+    ids = known.select("lang", "doc_id").distinct()
+    chosen = ids.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= SAMPLE_DOCS).drop("_rank")
+    sample = known.join(chosen, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", F.xxhash64("doc_id"), "doc_id").toArrow()
     if not sample.num_rows:
         return None
     languages = sorted(pc.unique(sample.column("lang")).to_pylist())

@@ -21,6 +21,8 @@ from fleetlens.llm.common import cut_lineage, fold, hash_spans, map_batches, que
 FEATURES = 192
 RIDGE = 1e-3
 BINS = 256
+#: Bytes of text looked at at once; bounds the memory of a task.
+SLICE = 1 << 20
 #: Width of the kernel in standardised statistics, as a multiple of the square root of their number.
 WIDTH = 1.0
 KEEP = 0.7
@@ -90,7 +92,7 @@ def document_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.concatenate([statistics(raw, offsets) for _, raw, offsets in slices(batch, "text")])
+        x = np.concatenate([statistics(raw, offsets) for _, raw, offsets in slices(batch, "text", SLICE)])
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, width), pa.int32()), pa.array(x.reshape(-1)))
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), flat], [*keep, "x"])
 
@@ -218,7 +220,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(stats, stats.join(marks, "doc_id").select("x", "y"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.concatenate([statistics(raw, offsets) for _, raw, offsets in slices(batch, "text")])
+        x = np.concatenate([statistics(raw, offsets) for _, raw, offsets in slices(batch, "text", SLICE)])
         return batch.filter(pa.array(model.score(x) >= KEEP))
 
     return docs.mapInArrow(lambda batches: (work(b) for b in batches if b.num_rows), docs.schema)

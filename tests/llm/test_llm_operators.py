@@ -128,6 +128,46 @@ def test_backoff_probabilities_add_up():
     assert np.allclose(p.sum(axis=1), 1)
 
 
+def test_every_beginning_keeps_its_counts(docs):
+    words = sorted({"".join(random.Random(i).choices("abcdefghij", k=9)) for i in range(60_000)})
+    wanted = {w[:n] for w in words for n in range(1, 10)}
+    assert len(wanted) > 200_000
+    rows = docs([" ".join(words[i::40]) for i in range(40)]).selectExpr("text", "doc_id % 2 AS kind")
+    found = toxicity.counts(rows)
+    assert found.count() == len(wanted) + len(words)  # and the ends of the words
+    assert found.select("before").distinct().count() == len(wanted) + 1  # and the empty one; none share a history
+
+
+def test_word_ratios_equal_the_model(docs, monkeypatch):
+    texts = [("alpha beta", 0), ("alpha alps bet", 1), ("betas", 1), ("alphabet", 2), ("gamma alp", 3), ("b", 0)]
+    rows = docs([t for t, _ in texts]).selectExpr("text", "CASE doc_id WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 0 END AS kind")
+    found = toxicity.counts(rows)
+    count = [Counter(w[:n] for t, k in texts if k % 2 == y for w in {x + "$" for x in t.split()} for n in range(1, len(w) + 1)) for y in (0, 1)]
+    kinds = Counter(sum(("$abcdefghijklmnopqrstuvwxyz".index(c) << (5 * i) for i, c in enumerate(reversed(b[-4:])))) for b in {*count[0], *count[1]})
+    shared = toxicity._backoff(np.array(sorted(kinds)), np.array([float(kinds[k]) for k in sorted(kinds)]))
+
+    def ratio(word):
+        out, b = 0.0, ""
+        for c in word + "$":
+            for sign, n in ((-1, count[0]), (1, count[1])):
+                after = [v for k, v in n.items() if len(k) == len(b) + 1 and k.startswith(b)]
+                weight = min(0.9 * len(after) / sum(after), 1) if after else 1
+                low = sum("$abcdefghijklmnopqrstuvwxyz".index(x) << (5 * i) for i, x in enumerate(reversed((b + c)[-4:])))
+                seen = count[0][b + c] + count[1][b + c] > 0
+                out += sign * math.log((max(n[b + c] - 0.9, 0) / max(sum(after), 1) + weight * shared[low]) if seen else weight)
+            b += c
+        return out
+
+    words = ["alpha", "alphas", "alp", "al", "zeta", "betas", "betting", "b", "gamma", "alphabets"]
+    asked = docs([" ".join(words), "zeta", "alphas zeta"])
+    model = toxicity.ratio_model(found, True)
+    got = {bytes(r.letters).decode(): r.ratio for r in toxicity.vocabulary(asked).join(toxicity.word_ratios(toxicity.vocabulary(asked), model), "word").collect()}
+    assert set(got) == set(words) and all(abs(got[w] / toxicity.UNIT - ratio(w)) < 1e-5 for w in words)
+    sent = sorted(map(tuple, toxicity._with_features(asked, "doc_id", model).collect()))
+    monkeypatch.setattr(toxicity, "COMMON", 2)  # words that are joined count like those that are sent
+    assert sorted(map(tuple, toxicity._with_features(asked, "doc_id", model).collect())) == sent
+
+
 # -- pages -----------------------------------------------------------------------------------------------------------
 
 

@@ -4,11 +4,12 @@ A page is a row of tags and text slots. Adjacent equal runs fold into repeated g
 after another: what matches stays, texts that differ make a slot, and runs that stand on one side only become optional
 (markers of a repeated group too, so a group may occur once). The result, the wrapper, is a sequence of tags, slots,
 repeated groups and optional parts, and knows for each slot how many pages have it, whether its text is always the same,
-how much text and how much link text it holds, and the elements around it.
+and how much text that is not links it holds in each part of the pages that have no article.
 
-The main text of a page is what its aligned slots hold, without slots in boilerplate elements (menus, headers, footers,
-sidebars, notices, adverts, forms, comments), outside the article (or, where a host has none, outside the part with most
-text that is not links), and without slots whose text is the same on ``SAME`` or more different pages.
+The main text of a page is what its aligned slots hold, without texts that on this page stand in boilerplate elements
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) or outside its article (a page without one: outside
+that of its parts with most such text on the pages of the host), and without slots whose text is the same on ``SAME`` or
+more different pages.
 
 Every task folds its pages of a host into one wrapper, so a host with many pages sends one row per task; these are
 folded by host again. All pages take part.
@@ -20,6 +21,7 @@ import json
 import re
 import zlib
 from difflib import SequenceMatcher
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -178,29 +180,37 @@ def skeleton(html: str) -> tuple[list[tuple[str, str]], list[str], list[int]]:
     return page, row, place
 
 
-# a slot: [pages, least text hash, greatest text hash, characters, link characters, path, hashes of up to SAME pages]
+# a slot: [pages, least text hash, greatest text hash, characters that are not links by part of the page, hashes of up to SAME pages]
 
 
-def _slot(texts: list[str], path: str, page: int) -> list:
-    hashes = [zlib.crc32(" ".join(t.split()).encode("utf-8", "replace")) for t in texts]
-    size = sum(len(t) for t in texts)
-    link = any(part == "a" or part.startswith("a ") for part in path.split("|"))
-    return [1, min(hashes), max(hashes), size, size if link else 0, path, [page]]
+def _text_hash(text: str) -> int:
+    return zlib.crc32(" ".join(text.split()).encode("utf-8", "replace"))
+
+
+def _slot(texts: list[str], mass: dict[str, int], page: int) -> list:
+    hashes = [_text_hash(t) for t in texts]
+    return [1, min(hashes), max(hashes), mass, [page]]
 
 
 def _merged(a: list, b: list) -> list:
-    return [a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]), a[3] + b[3], a[4] + b[4], min(a[5], b[5]), sorted({*a[6], *b[6]})[:SAME]]
+    mass = {r: a[3].get(r, 0) + b[3].get(r, 0) for r in {**a[3], **b[3]}}
+    return [a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]), mass, sorted({*a[4], *b[4]})[:SAME]]
 
 
 def page_wrapper(html: str) -> list[list]:
     """The wrapper of one page: nodes [signature, optional, slot or None]."""
     page, row, place = skeleton(html)
     number, where = zlib.crc32(html.encode("utf-8", "replace")), paths(page)
-    texts: dict[int, list] = {}
+    plain = [path is not None and not _boilerplate(path) for path in where]
+    article = any(p and _in_article(path) for p, path in zip(plain, where, strict=True))
+    texts: dict[int, tuple[list, dict]] = {}
     for i, (sig, text) in enumerate(page):
         if sig == "#":
-            texts.setdefault(place[i], [where[i], []])[1].append(text)
-    return [[s, False, _slot(texts[i][1], texts[i][0], number) if i in texts else None] for i, s in enumerate(row)]
+            own, mass = texts.setdefault(place[i], ([], {}))
+            own.append(text)
+            if plain[i] and not article:
+                mass[_region(where[i])] = mass.get(_region(where[i]), 0) + (-len(text) if _link(where[i]) else len(text))
+    return [[s, False, _slot(*texts[i], number) if i in texts else None] for i, s in enumerate(row)]
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
@@ -254,6 +264,7 @@ class HostWrapper:
         return out
 
 
+@lru_cache(10_000)
 def _boilerplate(path: str) -> bool:
     inside = False
     for part in path.split("|"):
@@ -268,10 +279,20 @@ def _boilerplate(path: str) -> bool:
     return False
 
 
+@lru_cache(10_000)
 def _in_article(path: str) -> bool:
     return any(p.split(" ", 1)[0] in ARTICLE or p.endswith(" main") for p in path.split("|"))
 
 
+def _region(path: str) -> str:
+    """html, body and the part below."""
+    return "|".join(path.split("|")[:3])
+
+
+def _link(path: str) -> bool:
+    return any(part == "a" or part.startswith("a ") for part in path.split("|"))
+
+
 def _alone(wrapper: list[list], i: int, step: int) -> bool:
     """Whether the next tag on that side is one of a block, so the slot does not share its block with other text."""
     i += step
@@ -282,46 +303,56 @@ def _alone(wrapper: list[list], i: int, step: int) -> bool:
     return wrapper[i][0] != "#" and wrapper[i][0].strip("</>").split(" ", 1)[0] not in INLINE
 
 
-def main_slots(wrapper: list[list]) -> list[bool]:
-    """For each node whether it is a slot of the main text."""
-    plain = [slot is not None and not _boilerplate(slot[5]) for _, _, slot in wrapper]
-    fixed = [
-        slot is not None and slot[1] == slot[2] and len(slot[6]) >= SAME and _alone(wrapper, i, -1) and _alone(wrapper, i, 1)
+def fixed_slots(wrapper: list[list]) -> list[bool]:
+    """For each node whether it is a slot whose text is a notice."""
+    return [
+        slot is not None and slot[1] == slot[2] and len(slot[4]) >= SAME and _alone(wrapper, i, -1) and _alone(wrapper, i, 1)
         for i, (_, _, slot) in enumerate(wrapper)
     ]
-    if any(p and _in_article(n[2][5]) for p, n in zip(plain, wrapper, strict=True)):
-        return [p and not f and _in_article(n[2][5]) for p, f, n in zip(plain, fixed, wrapper, strict=True)]
-    mass: dict[str, int] = {}
-    region = lambda path: "|".join(path.split("|")[:3])  # noqa: E731  html, body and the part below
-    for p, f, (_, _, slot) in zip(plain, fixed, wrapper, strict=True):
-        if p and not f:
-            mass[region(slot[5])] = mass.get(region(slot[5]), 0) + slot[3] - 2 * slot[4]
-    best = max(sorted(mass), key=lambda r: mass[r], default="")
-    return [p and not f and region(n[2][5]) == best for p, f, n in zip(plain, fixed, wrapper, strict=True)]
 
 
 class Extractor:
     """Applies a wrapper; the alignment of a skeleton is worked out once."""
 
     def __init__(self, wrapper: list[list]):
-        self.row, self.main, self.known = [n[0] for n in wrapper], main_slots(wrapper), {}
-
-    def __call__(self, html: str) -> str:
-        page, row, place = skeleton(html)
+        self.row, self.fixed, self.known = [n[0] for n in wrapper], fixed_slots(wrapper), {}
+        self.mass: dict[str, int] = {}
+        for fixed, (_, _, slot) in zip(self.fixed, wrapper, strict=True):
+            for region, size in slot[3].items() if slot and not fixed else ():
+                self.mass[region] = self.mass.get(region, 0) + size
+
+    def slots(self, row: list[str]) -> list[int | None]:
+        """For each node of a page the node of the wrapper that matches it."""
         key = tuple(row)
-        keep = self.known.get(key)
-        if keep is None:
-            keep = [False] * len(row)
+        slots = self.known.get(key)
+        if slots is None:
+            slots = [None] * len(row)
             for i, j in align(self.row, row):
                 if i is not None and j is not None:
-                    keep[j] = self.main[i]
+                    slots[j] = i
             if len(self.known) > 1000:
                 self.known = {}
-            self.known[key] = keep
+            self.known[key] = slots
+        return slots
+
+    def main(self, page: list[tuple[str, str]], row: list[str], place: list[int]) -> list[bool]:
+        """For each tag and text of a page whether it is main text."""
+        where, slots = paths(page), self.slots(row)
+        plain = [path is not None and not _boilerplate(path) for path in where]
+        plain = [p and slots[i] is not None and not self.fixed[slots[i]] for p, i in zip(plain, place, strict=True)]
+        inside = [p and _in_article(path) for p, path in zip(plain, where, strict=True)]
+        if any(inside):
+            return inside
+        best = max(sorted({_region(path) for p, path in zip(plain, where, strict=True) if p}), key=lambda r: self.mass.get(r, 0), default=None)
+        return [p and _region(path) == best for p, path in zip(plain, where, strict=True)]
+
+    def __call__(self, html: str) -> str:
+        page, row, place = skeleton(html)
+        keep = self.main(page, row, place)
         blocks, parts = [], []
-        for (sig, text), at in zip(page, place, strict=True):
+        for (sig, text), own in zip(page, keep, strict=True):
             if sig == "#":
-                if keep[at]:
+                if own:
                     parts.append(unescape(text) if "&" in text else text)
                 continue
             name = sig.strip("</>").split(" ", 1)[0]

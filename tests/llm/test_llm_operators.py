@@ -196,6 +196,17 @@ def test_main_text_of_a_host(spark):
     assert all(r.n_chars == len(r.text) for r in found)
 
 
+def found_texts(spark, pages):
+    table = spark.createDataFrame([(i, "http://h.example/x", p) for i, p in enumerate(pages)], "page_id int, url string, html string")
+    return {r.page_id: r.text for r in wrappers.main_texts(table).collect()}
+
+
+def test_pages_of_two_templates_on_a_host(spark):
+    bodies = [f"<main><h1>T{i}</h1><p>main {i}</p></main>" if i % 2 else f"<ul><li><a href=x>link {i}</a></li></ul><div class=content><p>plain {i}</p></div>" for i in range(8)]
+    text = found_texts(spark, [page(b) for b in bodies])
+    assert text == {i: f"T{i}\nmain {i}" if i % 2 else f"plain {i}" for i in range(8)}
+
+
 def test_repeats_fold_and_differences_become_optional():
     row = ["<a>", "<b>", "#", "<b>", "#", "<b>", "#", "</a>"]
     assert wrappers.folded(row) == (["<a>", "(", "<b>", "#", ")+", "</a>"], [0, 2, 3, 2, 3, 2, 3, 5])

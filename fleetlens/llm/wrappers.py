@@ -6,7 +6,7 @@ after another: what matches stays, texts that differ make a slot, and runs that
 repeated groups and optional parts, and knows for each slot how many pages have it, whether its text is always the same,
 and how much text that is not links it holds in each part of the pages that have no article.
 
-The main text of a page is what its aligned slots hold, without texts that on this page stand in boilerplate elements
+The main text of a page is all its text, aligned or not, without what on this page stands in boilerplate elements
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) or outside its article (a page without one: outside
 that of its parts with most such text on the pages of the host), and without slots whose text is the same on ``SAME`` or
 more different pages.
@@ -316,6 +316,7 @@ class Extractor:
 
     def __init__(self, wrapper: list[list]):
         self.row, self.fixed, self.known = [n[0] for n in wrapper], fixed_slots(wrapper), {}
+        self.text = [slot and slot[1] for _, _, slot in wrapper]
         self.mass: dict[str, int] = {}
         for fixed, (_, _, slot) in zip(self.fixed, wrapper, strict=True):
             for region, size in slot[3].items() if slot and not fixed else ():
@@ -339,7 +340,10 @@ class Extractor:
         """For each tag and text of a page whether it is main text."""
         where, slots = paths(page), self.slots(row)
         plain = [path is not None and not _boilerplate(path) for path in where]
-        plain = [p and slots[i] is not None and not self.fixed[slots[i]] for p, i in zip(plain, place, strict=True)]
+        # a text that matches no slot, or one of other text, is no notice
+        fixed = [i is not None and self.fixed[i] for i in slots]
+        same = [fixed[i] and sig == "#" and _text_hash(text) == self.text[slots[i]] for (sig, text), i in zip(page, place, strict=True)]
+        plain = [p and not n for p, n in zip(plain, same, strict=True)]
         inside = [p and _in_article(path) for p, path in zip(plain, where, strict=True)]
         if any(inside):
             return inside

@@ -207,6 +207,16 @@ def test_pages_of_two_templates_on_a_host(spark):
     assert text == {i: f"T{i}\nmain {i}" if i % 2 else f"plain {i}" for i in range(8)}
 
 
+def test_texts_that_match_no_slot_are_kept(spark):
+    rng, pages, wanted = random.Random(5), [], {}
+    kinds = ("<p>{}</p>", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>", "<ul><li>{}</li><li>x{}</li></ul>", "<figure><figcaption>{}</figcaption></figure>")
+    for i in range(200):
+        blocks = [rng.choice(kinds).replace("{}", f"w{i}z{j}") for j in range(rng.randrange(2, 16))]
+        pages.append(page(f"<nav>menu</nav><article>{''.join(blocks)}</article>"))
+        wanted[i] = "\n".join(w for b in blocks for w in re.findall(r"x?w\d+z\d+", b))
+    assert found_texts(spark, pages) == wanted
+
+
 def test_repeats_fold_and_differences_become_optional():
     row = ["<a>", "<b>", "#", "<b>", "#", "<b>", "#", "</a>"]
     assert wrappers.folded(row) == (["<a>", "(", "<b>", "#", ")+", "</a>"], [0, 2, 3, 2, 3, 2, 3, 5])

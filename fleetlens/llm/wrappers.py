@@ -8,8 +8,9 @@ and how much text that is not links it holds in each part of the pages that have
 
 The main text of a page is all its text, aligned or not, without what on this page stands in boilerplate elements
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) or outside its article (a page without one: outside
-that of its parts with most such text on the pages of the host), and without slots whose text is the same on ``SAME`` or
-more different pages.
+that of its parts with most such text on the pages of the host). Only on a page without an article is a repeated text
+dropped as a notice: one of a block, no heading, the same on nearly all of ``MANY`` or more different pages of the host,
+if all such texts together are less than the text that differs (so not on copies of one page).
 
 Every task folds its pages of a host into one wrapper, so a host with many pages sends one row per task; these are
 folded by host again. All pages take part.
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import cut_lineage, map_batches, query, table, whole_text
 
-SAME = 3
+MANY = 10
+NEARLY = 0.9
 LONGEST_RUN = 12
 FOLD_AT = 64
 
@@ -44,6 +46,7 @@ MARKED = re.compile(
     r"header|masthead|footer|comments?|comment-list|disqus|replies|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|widget)(?:$|[\s_-])"
 )
 ARTICLE = frozenset(("article", "main"))
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -180,7 +183,7 @@ def skeleton(html: str) -> tuple[list[tuple[str, str]], list[str], list[int]]:
     return page, row, place
 
 
-# a slot: [pages, least text hash, greatest text hash, characters that are not links by part of the page, hashes of up to SAME pages]
+# a slot: [pages, least text hash, greatest text hash, characters that are not links by part of the page, hashes of up to MANY pages]
 
 
 def _text_hash(text: str) -> int:
@@ -194,7 +197,7 @@ def _slot(texts: list[str], mass: dict[str, int], page: int) -> list:
 
 def _merged(a: list, b: list) -> list:
     mass = {r: a[3].get(r, 0) + b[3].get(r, 0) for r in {**a[3], **b[3]}}
-    return [a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]), mass, sorted({*a[4], *b[4]})[:SAME]]
+    return [a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]), mass, sorted({*a[4], *b[4]})[:MANY]]
 
 
 def page_wrapper(html: str) -> list[list]:
@@ -303,12 +306,20 @@ def _alone(wrapper: list[list], i: int, step: int) -> bool:
     return wrapper[i][0] != "#" and wrapper[i][0].strip("</>").split(" ", 1)[0] not in INLINE
 
 
+def _heading(path: str) -> bool:
+    return any(part.split(" ", 1)[0] in HEADING for part in path.split("|"))
+
+
 def fixed_slots(wrapper: list[list]) -> list[bool]:
-    """For each node whether it is a slot whose text is a notice."""
-    return [
-        slot is not None and slot[1] == slot[2] and len(slot[4]) >= SAME and _alone(wrapper, i, -1) and _alone(wrapper, i, 1)
+    """For each node whether it is a slot whose text is a notice on pages without an article."""
+    pages = max((slot[0] for _, _, slot in wrapper if slot), default=0)
+    fixed = [
+        slot is not None and bool(slot[3]) and slot[1] == slot[2] and len(slot[4]) >= MANY and slot[0] >= NEARLY * pages and _alone(wrapper, i, -1) and _alone(wrapper, i, 1)
         for i, (_, _, slot) in enumerate(wrapper)
     ]
+    mass = [sum(slot[3].values()) if slot else 0 for _, _, slot in wrapper]
+    differs = sum(m for m, (_, _, slot) in zip(mass, wrapper, strict=True) if slot and slot[1] != slot[2])
+    return fixed if differs > sum(m for m, f in zip(mass, fixed, strict=True) if f) else [False] * len(wrapper)
 
 
 class Extractor:
@@ -336,23 +347,25 @@ class Extractor:
             self.known[key] = slots
         return slots
 
-    def main(self, page: list[tuple[str, str]], row: list[str], place: list[int]) -> list[bool]:
+    def main(self, page: list[tuple[str, str]]) -> list[bool]:
         """For each tag and text of a page whether it is main text."""
-        where, slots = paths(page), self.slots(row)
+        where = paths(page)
         plain = [path is not None and not _boilerplate(path) for path in where]
-        # a text that matches no slot, or one of other text, is no notice
-        fixed = [i is not None and self.fixed[i] for i in slots]
-        same = [fixed[i] and sig == "#" and _text_hash(text) == self.text[slots[i]] for (sig, text), i in zip(page, place, strict=True)]
-        plain = [p and not n for p, n in zip(plain, same, strict=True)]
         inside = [p and _in_article(path) for p, path in zip(plain, where, strict=True)]
         if any(inside):
             return inside
+        if any(self.fixed):
+            row, place = folded([s for s, _ in page])
+            slots = self.slots(row)
+            # a text that matches no slot, or one of other text, is no notice
+            fixed = [i is not None and self.fixed[i] for i in slots]
+            plain = [p and not (fixed[i] and not _heading(path) and _text_hash(text) == self.text[slots[i]]) for p, path, (_, text), i in zip(plain, where, page, place, strict=True)]
         best = max(sorted({_region(path) for p, path in zip(plain, where, strict=True) if p}), key=lambda r: self.mass.get(r, 0), default=None)
         return [p and _region(path) == best for p, path in zip(plain, where, strict=True)]
 
     def __call__(self, html: str) -> str:
-        page, row, place = skeleton(html)
-        keep = self.main(page, row, place)
+        page = tokens(html)
+        keep = self.main(page)
         blocks, parts = [], []
         for (sig, text), own in zip(page, keep, strict=True):
             if sig == "#":

@@ -217,6 +217,21 @@ def test_texts_that_match_no_slot_are_kept(spark):
     assert found_texts(spark, pages) == wanted
 
 
+def test_repeated_text_of_an_article_is_kept(spark):
+    pages = [page(f"<article><h2>Summary</h2><p>about {i}</p><p>Same closing words</p></article>") for i in range(12)]
+    assert found_texts(spark, pages) == {i: f"Summary\nabout {i}\nSame closing words" for i in range(12)}
+    copies = [page(f"<nav>menu {i}</nav><article><h1>One</h1><p>the same article</p></article>") for i in range(12)]
+    assert set(found_texts(spark, copies).values()) == {"One\nthe same article"}
+    copies = [page(f"<nav>menu {i}</nav><div><h1>One</h1><p>the same text</p></div>") for i in range(12)]
+    assert set(found_texts(spark, copies).values()) == {"One\nthe same text"}
+
+
+def test_repeated_text_without_an_article(spark):
+    for n, notice in ((4, True), (12, False)):
+        pages = [page(f"<div><h2>Summary</h2><p>long text about number {i}</p><pre>Copyright</pre></div>") for i in range(n)]
+        assert found_texts(spark, pages) == {i: f"Summary\nlong text about number {i}" + "\nCopyright" * notice for i in range(n)}
+
+
 def test_repeats_fold_and_differences_become_optional():
     row = ["<a>", "<b>", "#", "<b>", "#", "<b>", "#", "</a>"]
     assert wrappers.folded(row) == (["<a>", "(", "<b>", "#", ")+", "</a>"], [0, 2, 3, 2, 3, 2, 3, 5])

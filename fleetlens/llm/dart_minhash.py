@@ -28,6 +28,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 6
 #: Shingles in a block of a large group, and in a chunk of small groups that are compared at once.
 BLOCK, CHUNK = 400_000, 400_000
+#: Texts in a block of a large group, and rows of a square of its texts that are counted at once.
+TEXTS, TILE = 2000, 256
 #: A shingle of more rows than this is counted in a square of its group instead of as pairs.
 WIDE = 48
 
@@ -98,19 +100,22 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def band_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each different text: ``digest``, its number of shingles ``n``, and its band keys."""
+    """One row for each different text: ``digest``, its number of shingles ``n``, a 128-bit hash of their multiset
+    (``bag_a``, ``bag_b``), and its band keys."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes = [], []
+        keys, sizes, bags = [], [], []
         for _, raw, offsets in slices(batch, "text"):
             values, at = shingles(raw, offsets)
             sizes.append(np.diff(at))
+            sums = [np.append(np.uint64(0), np.cumsum(mix(values + salt), dtype=np.uint64)) for salt in (GOLD, np.uint64(0xD6E8FEB86659FD93))]
+            bags.append(np.stack([x[at[1:]] - x[at[:-1]] for x in sums]).view(np.int64))
             keys.append(band_keys(signatures(values, at, BANDS * ROWS)))
-        keys, sizes = np.concatenate(keys), np.concatenate(sizes)
+        keys, sizes, bags = np.concatenate(keys), np.concatenate(sizes), np.concatenate(bags, axis=1)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)))
-        return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(sizes, pa.int64()), flat], ["digest", "n", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(sizes, pa.int64()), *(pa.array(x) for x in bags), flat], ["digest", "n", "bag_a", "bag_b", "bands"])
 
-    rows = map_batches(docs.select(digest(text).alias("digest"), whole_text(text).alias("text")), work, "digest binary, n bigint, bands array<bigint>")
+    rows = map_batches(docs.select(digest(text).alias("digest"), whole_text(text).alias("text")), work, "digest binary, n bigint, bag_a bigint, bag_b bigint, bands array<bigint>")
     return rows.dropDuplicates(["digest"])
 
 
@@ -121,6 +126,18 @@ def _keys(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix(values + (seen.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407)), at
 
 
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the trees of each ``a`` and ``b``; every label is the least row of its tree, before and after."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def links(keys: np.ndarray, offsets: np.ndarray, group: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows linked to a row before them: ``(row, first)``, a spanning forest of the pairs of one group with an exact
     weighted Jaccard similarity of at least ``threshold``. ``group`` is sorted."""
@@ -133,34 +150,41 @@ def links(keys: np.ndarray, offsets: np.ndarray, group: np.ndarray, threshold: f
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     count = np.diff(np.append(first, len(own)))
     wide = count > WIDE
-    shared: list[tuple[np.ndarray, np.ndarray]] = []
+    shared: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for d in np.unique(count[(count > 1) & ~wide]):  # keys of few rows: their pairs, counted
         table_ = rows[first[count == d][:, None] + np.arange(d)]
         a, b = np.triu_indices(int(d), 1)
         shared.append(np.unique(table_[:, a].reshape(-1) * m + table_[:, b].reshape(-1), return_counts=True))
-    for lo, hi in zip(start[:-1], start[1:], strict=True) if wide.any() else ():  # keys of many rows: a square each
-        if hi - lo > WIDE:
-            square = np.zeros((hi - lo, hi - lo), dtype=np.int32)
-            for f, d in zip(first[wide], count[wide], strict=True):
-                if lo <= rows[f] < hi:
-                    at = rows[f : f + d] - lo
-                    square[np.ix_(at, at)] += 1
-            a, b = np.nonzero(np.triu(square, 1))
-            shared.append(((a + lo) * m + b + lo, square[a, b]))
-    if not shared:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     pair, back = np.unique(np.concatenate([x for x, _ in shared]), return_inverse=True)
-    common = np.bincount(back, weights=np.concatenate([n for _, n in shared]), minlength=len(pair))
-    a, b = pair // m, pair % m
-    close = common >= threshold * (size[a] + size[b] - common) - 1e-9
-    a, b, label = a[close], b[close], np.arange(m)
-    while True:
-        old = label.copy()
-        np.minimum.at(label, b, label[a])
-        np.minimum.at(label, a, label[b])
-        label = label[label]
-        if (label == old).all():
-            return np.flatnonzero(label != np.arange(m)), label[label != np.arange(m)]
+    common = np.bincount(back, weights=np.concatenate([n for _, n in shared]), minlength=len(pair)).astype(np.int32)
+    del shared, back
+    a, b, label = pair // max(m, 1), pair % max(m, 1), np.arange(m)
+    of_wide = np.searchsorted(start, rows[first[wide]], side="right") - 1
+    tiled = np.zeros(len(start), dtype=bool)
+    tiled[of_wide] = True
+    alone = ~tiled[np.searchsorted(start, a, side="right") - 1]
+
+    def close(a, b, common):
+        return common >= threshold * (size[a] + size[b] - common) - 1e-9
+
+    near = alone & close(a, b, common)
+    _unite(label, a[near], b[near])
+    for g in np.unique(of_wide):  # keys of many rows: the square of their group, a tile of rows at a time
+        lo, hi = start[g], start[g + 1]
+        members = [rows[f : f + d] for f, d in zip(first[wide][of_wide == g], count[wide][of_wide == g], strict=True)]
+        for t in range(lo, hi, TILE):
+            square = np.zeros((min(TILE, hi - t), hi - lo), dtype=np.int32)
+            for at in members:
+                i, j = np.searchsorted(at, (t, t + TILE))
+                square[np.ix_(at[i:j] - t, at[i:] - lo)] += 1
+            i, j = np.searchsorted(a, (t, min(t + TILE, hi)))
+            square[a[i:j] - t, b[i:j] - lo] += common[i:j]
+            x, y = np.nonzero(square)
+            n, x, y = square[x, y], x + t, y + lo
+            near = (y > x) & close(x, y, n)
+            _unite(label, x[near], y[near])
+    child = np.flatnonzero(label != np.arange(m))
+    return child, label[child]
 
 
 def _links_of_groups(threshold: float):
@@ -201,17 +225,22 @@ def near_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHO
     """``digest``, ``root`` for every different text: texts with the same root are linked by pairs of at least
     ``threshold``, directly or through others.
 
-    Equal texts are one text. Texts that share a band bucket, directly or through others, form a group; every candidate
-    pair lies in one group. A group is dealt into blocks of about ``BLOCK`` shingles, each pair of blocks is one unit of
+    Equal texts are one text, and texts of the same shingles are linked to one of them, which stands for all. Texts that share a band bucket, directly or through others, form a group; every candidate
+    pair lies in one group. A group is dealt into blocks of about ``BLOCK`` shingles or ``TEXTS`` texts, each pair of blocks is one unit of
     work that compares its texts exactly, and only a spanning forest of the links leaves it, never the pairs. Null and
     empty texts, and texts without a word, have no shingles and stay alone with their equal texts.
     """
     base = cut_lineage(band_table(docs, text), "bands")
-    buckets = base.filter("n > 0").select("digest", F.explode("bands").alias("band"))
+    bags = base.filter("n > 0").groupBy("bag_a", "bag_b").agg(F.min("digest").alias("lead"), F.count("*").alias("texts"))
+    bags = cut_lineage(bags.filter("texts > 1").drop("texts"), "bags")
+    same = base.filter("n > 0").select("digest", "bag_a", "bag_b").join(bags, ["bag_a", "bag_b"]).filter("digest != lead").select(F.col("digest").alias("a"), F.col("lead").alias("b"))
+    same = cut_lineage(same, "same")
+    leads = base.filter("n > 0").join(same.select(F.col("a").alias("digest")), "digest", "left_anti")
+    buckets = leads.select("digest", F.explode("bands").alias("band"))
     heads = buckets.groupBy("band").agg(F.min("digest").alias("head"), F.max("digest").alias("last")).filter("head < last").select("band", "head")
     stars = buckets.join(heads, "band").filter("digest != head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
     groups = components(stars, "groups").withColumnRenamed("node", "digest").join(base.select("digest", "n"), "digest")
-    blocks = groups.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = groups.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / TEXTS)).cast("int").alias("blocks"))
     dealt = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = dealt.select("digest", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("digest", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -219,7 +248,7 @@ def near_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHO
     texts = texts.join(groups.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     units = texts.join(dealt, "digest").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "digest")
     found = cut_lineage(units.mapInArrow(_links_of_groups(threshold), "a binary, b binary"), "links")
-    roots = components(found).withColumnRenamed("node", "digest")
+    roots = components(found.unionByName(same)).withColumnRenamed("node", "digest")
     return base.select("digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
 
 

@@ -468,6 +468,28 @@ def test_near_classes_equal_brute_force(docs, monkeypatch):
     assert dart_minhash.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_links_of_many_short_rows_need_no_square():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 2**60, 16).astype(np.uint64)
+    rows = [np.append(base, np.uint64(2**61 + i)) for i in range(4000)]
+    tracemalloc.start()
+    child, parent = dart_minhash.links(np.concatenate(rows), np.arange(0, 17 * 4000 + 1, 17), np.zeros(4000), 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(child) == set(range(1, 4000)) and set(parent) == {0}
+    assert peak < 150e6
+
+
+def test_short_copies_are_dealt_by_texts(docs, monkeypatch):
+    base = prose(11, 40)
+    texts = [f"{base} tail{i}" for i in range(60)] + [base.upper() + "!" * i for i in range(60)] + [prose(12, 30)]
+    monkeypatch.setattr(dart_minhash, "TEXTS", 10)
+    rows = {r.doc_id: r for r in dart_minhash.near_duplicates(docs(texts)).collect()}
+    assert [rows[i].class_id for i in range(len(texts))] == classes_of(texts)
+
+
 def test_signatures_estimate_weighted_jaccard():
     a, b = np.arange(1, 301, dtype=np.uint64), np.concatenate([np.arange(1, 251), np.arange(900, 950), [1, 1, 1]]).astype(np.uint64)
     both = np.concatenate([a, b])

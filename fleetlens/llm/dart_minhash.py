@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import GOLD, cut_lineage, digest, hash_spans, lower_bytes, map_batches, mix, query, shingle_hashes, slices, table, word_spans, whole_text
-from fleetlens.llm.components import components
+from fleetlens.llm.components import components, follow, spread_join
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -225,8 +225,9 @@ def near_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHO
     """``digest``, ``root`` for every different text: texts with the same root are linked by pairs of at least
     ``threshold``, directly or through others.
 
-    Equal texts are one text, and texts of the same shingles are linked to one of them, which stands for all. Texts that share a band bucket, directly or through others, form a group; every candidate
-    pair lies in one group. A group is dealt into blocks of about ``BLOCK`` shingles or ``TEXTS`` texts, each pair of blocks is one unit of
+    Equal texts are one text, and texts of the same shingles are linked to one of them, which stands for all. Texts that
+    share a band bucket, directly or through others, form a group; every candidate pair lies in one group. A group is
+    dealt into blocks of about ``BLOCK`` shingles or ``TEXTS`` texts, each pair of blocks is one unit of
     work that compares its texts exactly, and only a spanning forest of the links leaves it, never the pairs. Null and
     empty texts, and texts without a word, have no shingles and stay alone with their equal texts.
     """
@@ -238,18 +239,24 @@ def near_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHO
     leads = base.filter("n > 0").join(same.select(F.col("a").alias("digest")), "digest", "left_anti")
     buckets = leads.select("digest", F.explode("bands").alias("band"))
     heads = buckets.groupBy("band").agg(F.min("digest").alias("head"), F.max("digest").alias("last")).filter("head < last").select("band", "head")
-    stars = buckets.join(heads, "band").filter("digest != head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
-    groups = components(stars, "groups").withColumnRenamed("node", "digest").join(base.select("digest", "n"), "digest")
+    # a text is tied to the least head of its buckets, and their other heads to that one
+    tied = buckets.join(heads, "band").groupBy("digest").agg(F.min("head").alias("root"), F.collect_set("head").alias("heads"))
+    tied = cut_lineage(tied, "tied")
+    links = tied.select(F.col("root").alias("a"), F.explode("heads").alias("b")).filter("a != b").distinct()
+    up = components(links, "groups").withColumnRenamed("root", "parent")
+    groups = follow(tied.select("digest", "root"), "root", up, F.col("digest")).join(base.select("digest", "n"), "digest")
+    groups = cut_lineage(groups, "groups")
     blocks = groups.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / TEXTS)).cast("int").alias("blocks"))
-    dealt = groups.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = spread_join(groups, "root", blocks, F.col("digest")).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     dealt = dealt.select("digest", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("digest", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     texts = docs.select(digest(text).alias("digest"), whole_text(text).alias("text"))
     texts = texts.join(groups.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     units = texts.join(dealt, "digest").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "digest")
     found = cut_lineage(units.mapInArrow(_links_of_groups(threshold), "a binary, b binary"), "links")
-    roots = components(found.unionByName(same)).withColumnRenamed("node", "digest")
-    return base.select("digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    up = components(found).withColumnRenamed("root", "parent")
+    leads = base.select("digest").join(same.withColumnRenamed("a", "digest").withColumnRenamed("b", "root"), "digest", "left")
+    return follow(leads.withColumn("root", F.coalesce("root", "digest")), "root", up, F.col("digest"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -258,10 +265,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
     ``kept`` holds for the rows with the least (id, digest) of their class; a row that occurs several times is kept as
     often, and ``one_per_class`` keeps one. Ids may be null (they count as the least) or repeated.
     """
-    rows = docs.select(F.col(id).alias("doc_id"), digest(text).alias("digest"))
-    classed = rows.join(near_classes(docs, text, threshold), "digest")
+    rows = cut_lineage(docs.select(F.col(id).alias("doc_id"), digest(text).alias("digest")), "ids")
+    classed = cut_lineage(spread_join(rows, "digest", near_classes(docs, text, threshold), F.col("doc_id")), "classes")
     first = classed.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.min("doc_id").alias("class_id"))
-    return classed.join(first, "root").select("doc_id", "class_id", F.struct("doc_id", "digest").eqNullSafe(F.col("first")).alias("kept"), "digest")
+    return spread_join(classed, "root", first, F.col("doc_id")).select("doc_id", "class_id", F.struct("doc_id", "digest").eqNullSafe(F.col("first")).alias("kept"), "digest")
 
 
 def one_per_class(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

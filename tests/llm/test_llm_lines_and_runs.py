@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fleetlens.llm import importance, line_runs, periodic_runs
+from fleetlens.llm import components, importance, line_runs, periodic_runs
 from fleetlens.llm.queries import QUERIES
 
 # -- op13 --------------------------------------------------------------------------------------------------------------
@@ -245,3 +245,56 @@ def test_the_number_of_batches_does_not_change_line_dedup(docs):
     rows = docs([(i, f"a line of enough length {i % 4}\nb{i}") for i in range(40)])
     one, many = (sorted(tuple(r) for r in line_runs.without_repeated_lines(rows, batches=n).collect()) for n in (1, 6))
     assert one == many and sum(r[3] for r in one) == 36
+
+
+# -- components (op10) ---------------------------------------------------------------------------------------------------
+
+
+def plain_components(links):
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    classes: dict = {}
+    for x in parent:
+        classes.setdefault(find(x), set()).add(x)
+    return sorted(map(frozenset, classes.values()), key=min)
+
+
+SHAPES = {
+    "star": [(0, i) for i in range(1, 4000)],
+    "star with the largest in the middle": [(9999, i) for i in range(4000)],
+    "chain": [(i, i + 1) for i in range(400)],
+    "two stars and a bridge": [*((0, i) for i in range(1, 900)), *((5000, i) for i in range(6000, 6900)), (899, 6000)],
+    "random": [tuple(map(int, x)) for x in np.random.default_rng(1).integers(0, 900, (700, 2))],
+    "none": [],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_components_keep_every_link_and_shrink(spark, monkeypatch, shape):
+    sizes = []
+    write = components.cut_lineage
+
+    def counted(df, label):
+        out = write(df, label)
+        if label.endswith("-links"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "cut_lineage", counted)
+    rows = components.components(spark.createDataFrame(SHAPES[shape], "a bigint, b bigint")).collect()
+    classes: dict = {}
+    for r in rows:
+        classes.setdefault(r["root"], set()).add(r["node"])
+    alone = {x for c in plain_components(SHAPES[shape]) if len(c) == 1 for x in c}  # a link to itself only
+    assert sorted(map(frozenset, classes.values()), key=min) == [c for c in plain_components(SHAPES[shape]) if not c <= alone]
+    assert all(r["root"] in classes[r["root"]] for r in rows)
+    assert sizes[-1] == 0 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False))
+    if shape.startswith("star"):
+        assert len(sizes) <= 3

@@ -15,7 +15,7 @@ from fleetlens.plans.policy import channels
 from fleetlens.plans.registry import query
 from fleetlens.plans.sources import default_pushes, npm_facts, with_push_time
 from fleetlens.plans.sql import with_ctes
-from fleetlens.session import scratch_path
+from fleetlens.session import cut_lineage, scratch_path
 from fleetlens.sources.driver import Fleet
 from fleetlens.streaming import jobs
 
@@ -24,6 +24,29 @@ def _default_facts(fleet: Fleet) -> DataFrame:
     return with_push_time(npm_facts(fleet, default_pushes(fleet)), fleet)
 
 
+#: Every twentieth push arrives a wave late; waves are shorter than this.
+LATE, DELAY = 20, "3650 days"
+
+
+def _in_waves(fleet: Fleet, label: str, waves: int, write, log) -> DataFrame:
+    """Let the facts arrive in waves of event time, some late, and run the job after each wave from its checkpoint. The
+    log is compacted on the way."""
+    facts = _default_facts(fleet).select("repo", "type", "name", "push_id", "ts", "sha")
+    days = F.datediff("ts", F.lit("1970-01-01"))
+    span = fleet.pushes().agg(F.min(days).alias("first"), F.max(days).alias("last")).first()
+    length = (span["last"] - span["first"] + 1) / waves if span["last"] is not None else 1
+    late = F.when(F.pmod(F.xxhash64("push_id"), F.lit(LATE)) == 0, 1).otherwise(0)
+    wave = F.least(F.floor((days - F.lit(span["first"])) / length) + late, F.lit(waves - 1))
+    rows = cut_lineage(facts.withColumn("wave", wave), f"{label}-waves")
+    arrived, location = scratch_path(fleet.spark, f"{label}-in"), scratch_path(fleet.spark, label)
+    for i in range(waves):
+        rows.filter(F.col("wave") == i).drop("wave").write.mode("append").parquet(arrived)
+        out = write(jobs.read_folder_stream(fleet.spark, arrived, facts.schema), location, DELAY)
+        if i == waves // 2:
+            log(fleet.spark, f"{location}/{label}").compact()
+    return out
+
+
 def _event_stream(fleet: Fleet) -> DataFrame:
     """Delivery events straight from the events table as a stream."""
     raw = jobs.read_table_stream(fleet.spark, fleet.sf_dir, "events.parquet")
@@ -63,14 +86,7 @@ def _stream_fingerprints(fleet: Fleet) -> DataFrame:
     ),
 )
 def _stream_latest(fleet: Fleet) -> DataFrame:
-    facts = jobs.arrive(_default_facts(fleet).select("repo", "type", "name", "push_id", "ts", "sha"), "facts")
-
-    def write(batch: DataFrame, batch_id: int, path: str) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    out, checkpoint = scratch_path(fleet.spark, "latest"), scratch_path(fleet.spark, "latest-checkpoint")
-    jobs.run_each_batch(jobs.latest_by_key(facts), out, checkpoint, "update", write)
-    return jobs.latest_table(fleet.spark, out)
+    return _in_waves(fleet, "latest", 3, jobs.write_latest, jobs.latest_log)
 
 
 @query(
@@ -83,8 +99,7 @@ def _stream_latest(fleet: Fleet) -> DataFrame:
     ),
 )
 def _stream_diffs(fleet: Fleet) -> DataFrame:
-    facts = jobs.arrive(_default_facts(fleet).select("repo", "type", "name", "push_id", "ts", "sha"), "facts")
-    return jobs.write_changes(facts, scratch_path(fleet.spark, "changes"))
+    return _in_waves(fleet, "changes", 5, jobs.write_changes, jobs.change_log)
 
 
 @query(

@@ -16,7 +16,8 @@ from fleetlens.operators.aspects import Aspect, extract_facts
 from fleetlens.operators.sequencing import number_rows
 from fleetlens.operators.targets import promote_target
 from fleetlens.session import scratch_path
-from fleetlens.sources.store import upsert
+from fleetlens.streaming.changelog import Changelog
+from fleetlens.streaming.state import KEY, told_facts, with_keyed_state
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -101,20 +102,6 @@ def instant(ts: str) -> Column:
     return F.col(ts).cast("timestamp")
 
 
-def latest_by_key(facts: DataFrame) -> DataFrame:
-    """Newest fact per (repo, type, name) so far; run in update mode."""
-    return facts.groupBy("repo", "type", "name").agg(
-        F.max_by(F.struct("push_id", "ts", "sha"), F.struct("ts", "push_id", "sha")).alias("r")
-    )
-
-
-def latest_table(spark: SparkSession, changelog: str) -> DataFrame:
-    """Current state from the changelog the update mode wrote."""
-    log = spark.read.parquet(changelog)
-    newest = log.groupBy("repo", "type", "name").agg(F.max_by("r", F.struct("r.ts", "r.push_id", "r.sha")).alias("r"))
-    return newest.select("repo", "type", "name", "r.push_id", "r.sha")
-
-
 STATE_FIELDS = ["repo", "type", "name", "push_id", "ts", "sha"]
 CHANGE_FIELDS = ["repo", "type", "name", "push_id", "from_sha", "to_sha"]
 
@@ -142,28 +129,41 @@ def batch_changes(state: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def write_changes(facts: DataFrame, location: str) -> DataFrame:
-    """Append change events under ``location`` and return all of them.
+def _tell(facts: DataFrame, log: Changelog, location: str, delay: str, expire_days: int | None, keep: Column) -> DataFrame:
+    """Run the keyed state over what has arrived, append its rows to the log and return the table they stand for."""
+    told = told_facts(facts, delay, expire_days).filter(keep).select(*log.schema.names)
+    with with_keyed_state(facts.sparkSession):
+        run_each_batch(told, location, f"{location}/checkpoint", "update", lambda batch, id, path: log.write(batch, id))
+    return log.read()
+
+
+def change_log(spark: SparkSession, location: str) -> Changelog:
+    """Changes by push; of several tellings of one push the last holds."""
+    schema = "repo bigint, type string, name string, push_id bigint, from_sha string, to_sha string"
+    return Changelog(spark, location, spark.createDataFrame([], schema).schema, ["repo", "type", "name", "push_id", "to_sha"], ["batch"])
 
-    The state is a table of the newest fact per key, one version per batch. A
-    retried batch reads the version before it and overwrites its own output,
-    so every change is written once; a restarted job goes on from its
-    checkpoint. Versions older than the checkpoint keeps may be dropped.
+
+def latest_log(spark: SparkSession, location: str) -> Changelog:
+    schema = "repo bigint, type string, name string, push_id bigint, millis bigint, to_sha string"
+    return Changelog(spark, location, spark.createDataFrame([], schema).schema, KEY, ["millis", "push_id", "to_sha", "batch"])
+
+
+def write_changes(facts: DataFrame, location: str, delay: str = "3650 days", expire_days: int | None = None) -> DataFrame:
+    """Append change events under ``location`` and return all that hold.
+
+    A fact is compared with the one before it in the order of events, kept per (repo, type, name) as in
+    ``streaming.state``. A push that comes late, by at most ``delay``, is told with its predecessor, and its successor is
+    told again. A retried batch overwrites its own output and a restarted job goes on from its checkpoint.
     """
-    spark = facts.sparkSession
+    told = F.col("from_sha").isNotNull() & (F.col("again") | (F.col("from_sha") != F.col("to_sha")))
+    changes = _tell(facts, change_log(facts.sparkSession, f"{location}/changes"), location, delay, expire_days, told)
+    return changes.filter("from_sha != to_sha").select(*CHANGE_FIELDS)
 
-    def write(batch: DataFrame, batch_id: int, path: str) -> None:
-        session = batch.sparkSession
-        schema = facts.select(*STATE_FIELDS).schema
-        if batch_id == 0:
-            state = session.createDataFrame([], schema)
-        else:
-            state = session.read.schema(schema).parquet(f"{location}/state/batch={batch_id - 1}")
-        batch_changes(state, batch).write.mode("overwrite").parquet(path)
-        upsert(state, batch.select(*STATE_FIELDS)).write.mode("overwrite").parquet(f"{location}/state/batch={batch_id}")
-
-    run_each_batch(facts, f"{location}/changes", f"{location}/checkpoint", "append", write)
-    return spark.read.parquet(f"{location}/changes").select(*CHANGE_FIELDS)
+
+def write_latest(facts: DataFrame, location: str, delay: str = "3650 days", expire_days: int | None = None) -> DataFrame:
+    """Append the newest fact per (repo, type, name) whenever it changes and return the current ones."""
+    latest = _tell(facts, latest_log(facts.sparkSession, f"{location}/latest"), location, delay, expire_days, F.col("newest") & ~F.col("again"))
+    return latest.select(*KEY, "push_id", F.col("to_sha").alias("sha"))
 
 
 def build_time_windows(events: DataFrame, size: str, slide: str | None = None, delay: str = "1 day") -> DataFrame:

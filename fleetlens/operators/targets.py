@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.names import npm_name_decode, npm_name_encode
 from fleetlens.functions.payload import sha_of
+from fleetlens.functions.versions import KEY as VERSION_KEY
+from fleetlens.functions.versions import base_version, drift_class, in_terms, precedence, range_terms, satisfies
 from fleetlens.operators.extractors import NPM
 from fleetlens.operators.sequencing import number_rows
 
@@ -31,14 +33,36 @@ def target_diff(facts: DataFrame, targets: DataFrame) -> DataFrame:
     return facts.join(targets, ["type", "name"]).filter(F.col("sha") != F.col("target_sha"))
 
 
+def declared_range(type_: Column, data: Column) -> Column:
+    """The range a library fact declares; null for other facts."""
+    return F.when(type_ == NPM, F.get_json_object(data, "$[1]"))
+
+
+def admits(type_: Column, data: Column, target_data: Column) -> Column:
+    """Whether the declared range of a fact lets the version of the target in; null if there is no range to read."""
+    return satisfies(base_version(declared_range(type_, target_data)), declared_range(type_, data))
+
+
+def outside_range(deviations: DataFrame) -> DataFrame:
+    """Deviations that an install would not resolve to the target; facts without a range stay."""
+    return deviations.filter(~F.coalesce(admits(F.col("type"), F.col("data"), F.col("target_data")), F.lit(False)))
+
+
 def policy_compliance(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Facts and share of facts on target per (type, name)."""
-    joined = facts.select("type", "name", "sha").join(targets.select("type", "name", "target_sha"), ["type", "name"])
-    on_target = (F.col("sha") == F.col("target_sha")).cast("int")
+    """Facts and share of facts on target per (type, name), and how many declare the target or a range that admits it.
+
+    Variants are counted first, so a range is read once and not once a repository.
+    """
+    counts = facts.groupBy("type", "name", "data", "sha").agg(F.count(F.lit(1)).alias("n"))
+    joined = counts.join(targets.select("type", "name", "target_data", "target_sha"), ["type", "name"])
+    on_target = F.col("sha") == F.col("target_sha")
+    admitted = on_target | F.coalesce(admits(F.col("type"), F.col("data"), F.col("target_data")), F.lit(False))
+    total = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
     return joined.groupBy("type", "name").agg(
-        F.count(F.lit(1)).alias("repos"),
-        F.sum(on_target).alias("on_target"),
-        F.round(F.avg(on_target), 6).alias("share"),
+        F.sum("n").alias("repos"),
+        total(on_target).alias("on_target"),
+        F.round(total(on_target) / F.sum("n"), 6).alias("share"),
+        total(admitted).alias("admitted"),
     )
 
 
@@ -101,9 +125,11 @@ def upsert_targets(targets: DataFrame, promoted: DataFrame) -> DataFrame:
 
 
 def ideal_versions(facts: DataFrame, registry: DataFrame) -> DataFrame:
-    """Newest published version of every library in use; unknown libraries give no row."""
+    """Newest published version of every library in use, by precedence among those published together; unknown libraries
+    give no row."""
     used = facts.filter(F.col("type") == NPM).select("name").distinct().withColumn("lib", npm_name_decode(F.col("name")))
-    latest = registry.groupBy("lib").agg(F.max_by("version", F.struct("published", "version")).alias("version"))
+    order = F.struct(F.col("published"), precedence(base_version(F.col("version"))), F.col("version"))
+    latest = registry.groupBy("lib").agg(F.max_by("version", order).alias("version"))
     data = F.to_json(F.array("lib", "version"))
     return used.join(latest, "lib").select(
         F.lit(NPM).alias("type"),
@@ -112,3 +138,30 @@ def ideal_versions(facts: DataFrame, registry: DataFrame) -> DataFrame:
         sha_of(data).alias("ideal_sha"),
         F.lit(IDEAL_REASON).alias("reason"),
     )
+
+
+def resolved_versions(facts: DataFrame, published: DataFrame) -> DataFrame:
+    """What every declared range of a library resolves to: (lib, range, uses, resolved, newest, drift).
+
+    ``published`` is (lib, version). ``resolved`` is the highest published version in the range, ``newest`` the highest
+    release, ``drift`` the place in which the resolved version (or, if nothing published fits, the one the range starts
+    from) is behind it. The versions of a library, some thousands at most, are gathered once for each library, not for
+    each use; ranges are counted first. Libraries that are not published have null versions.
+    """
+    lib = F.get_json_object("data", "$[0]").alias("lib")
+    ranges = facts.filter(F.col("type") == NPM).groupBy("data").agg(F.count(F.lit(1)).alias("uses"))
+    ranges = ranges.select(lib, F.get_json_object("data", "$[1]").alias("range"), "uses")
+    known = published.select("lib", F.struct(precedence(F.col("version")).alias("key"), "version").alias("v")).filter("v.key IS NOT NULL")
+    known = known.groupBy("lib").agg(F.sort_array(F.collect_set("v"), asc=False).alias("versions"))
+    joined = ranges.join(known, "lib", "left").withColumn("terms", range_terms(F.col("range")))
+    fits = lambda v: in_terms(v["key"], F.col("terms"))
+    first = lambda found: F.get(found, F.lit(0))  # noqa: E731  (the highest)
+    joined = joined.withColumn("best", first(F.filter("versions", fits))).withColumn("top", first(F.filter("versions", lambda v: v["key"]["release"])))
+    own = F.coalesce(F.col("best.key"), precedence(base_version(F.col("range")))).cast(VERSION_KEY)
+    return joined.select("lib", "range", "uses", F.col("best.version").alias("resolved"), F.col("top.version").alias("newest"), drift_class(own, F.col("top.key")).alias("drift"))
+
+
+def version_drift(resolved: DataFrame) -> DataFrame:
+    """Uses per library by how far they are behind: (lib, uses, major, minor, patch, current)."""
+    total = lambda kind: F.sum(F.when(F.col("drift") == kind, F.col("uses")).otherwise(0))
+    return resolved.groupBy("lib").agg(F.sum("uses").alias("uses"), *[total(k).alias(k) for k in ("major", "minor", "patch")], total("none").alias("current"))

@@ -89,7 +89,8 @@ def _target_asof(fleet: Fleet) -> DataFrame:
     "policy_compliance",
     with_ctes(
         """SELECT type, name, count(*) AS repos, sum((sha = target_sha)::INT)::BIGINT AS on_target,
-        round(avg((sha = target_sha)::INT), 6) AS share FROM depl JOIN target USING (type, name) GROUP BY type, name""",
+        round(avg((sha = target_sha)::INT), 6) AS share,
+        sum((split_part(version, '.', 1) = regexp_extract(target_data, '(\\^[0-9]+)', 1))::INT)::BIGINT AS admitted FROM depl JOIN target USING (type, name) GROUP BY type, name""",
         "target",
     ),
 )
@@ -176,10 +177,7 @@ def _ideal_versions(fleet: Fleet) -> DataFrame:
     return targets.ideal_versions(latest_npm(fleet), fleet.registry())
 
 
-@query(
-    "npm_remediation",
-    with_ctes(
-        """SELECT latest.repo, latest.push_id, 'package.json' AS path, edits, sha256('{' || nl || '  "name": "@fleet/repo-'
+_REMEDIATION = """SELECT latest.repo, latest.push_id, 'package.json' AS path, edits, sha256('{' || nl || '  "name": "@fleet/repo-'
         || latest.repo || '",' || nl || '  "version": "1.' || push_id % 10 || '.0",' || nl || '  "dependencies": '
         || coalesce('{' || nl || r || nl || '  }', '{}') || ',' || nl || '  "devDependencies": '
         || coalesce('{' || nl || d || nl || '  }', '{}') || nl || '}' || nl) AS content_sha
@@ -189,17 +187,62 @@ def _ideal_versions(fleet: Fleet) -> DataFrame:
         string_agg('    "' || lib || '": ' || v, ',' || chr(10) ORDER BY lib) FILTER (dev) AS d FROM (
         SELECT entry.push_id, dev, entry.lib, CASE WHEN depl.sha <> target_sha THEN trim(split_part(target_data, ',', 2), ']')
         ELSE '"^' || size || '.0.0"' END AS v FROM entry JOIN depl USING (push_id, lib) JOIN target USING (type, name))
-        GROUP BY push_id) USING (push_id)""",
-        "target", "latest", "entry",
-    ),
-)
+        GROUP BY push_id) USING (push_id)"""
+#: In the stand-in fleet all ranges are carets of whole versions: the target is admitted if the first number is the same.
+_OUTSIDE = "split_part(version, '.', 1) <> regexp_extract(target_data, '(\\^[0-9]+)', 1)"
+
+
+@query("npm_remediation", with_ctes(_REMEDIATION, "target", "latest", "entry"))
 def _npm_remediation(fleet: Fleet) -> DataFrame:
+    return _remediated(fleet, targets.target_diff)
+
+
+@query(
+    "npm_range_remediation",
+    with_ctes(_REMEDIATION.replace("depl.sha <> target_sha", _OUTSIDE).replace("sha <> target_sha", _OUTSIDE), "target", "latest", "entry"),
+)
+def _npm_range_remediation(fleet: Fleet) -> DataFrame:
+    """Only libraries whose declared range does not let the target in are edited."""
+    return _remediated(fleet, lambda facts, policy: targets.outside_range(targets.target_diff(facts, policy)))
+
+
+def _remediated(fleet: Fleet, deviating) -> DataFrame:
     files = fleet.files(["package.json"], fleet.latest_pushes())
     facts = cut_lineage(extract_facts(files, [a.NPM]), "facts")
-    fixed = remediate.npm_remediation(files, targets.target_diff(facts, targets.modal_targets(facts)))
+    fixed = remediate.npm_remediation(files, deviating(facts, targets.modal_targets(facts)))
     return fixed.select("repo", "push_id", "path", "edits", F.sha2("content", 256).alias("content_sha"))
 
 
+_RESOLVED = """SELECT u.lib, u.range, u.uses, r.version AS resolved, n.version AS newest, CASE WHEN n.size IS NULL THEN NULL
+    WHEN u.size < n.size THEN 'major' WHEN u.size > n.size THEN 'none' WHEN coalesce(r.minor, 0) < n.minor THEN 'minor' WHEN coalesce(r.minor, 0) > n.minor
+    THEN 'none' WHEN coalesce(r.patch, 0) < n.patch THEN 'patch' ELSE 'none' END AS drift
+    FROM (SELECT lib, version AS range, substr(split_part(version, '.', 1), 2)::BIGINT AS size, count(*) AS uses FROM depl GROUP BY ALL) u
+    LEFT JOIN (SELECT * FROM reg WHERE NOT rc QUALIFY row_number() OVER (PARTITION BY lib, size ORDER BY minor DESC, patch DESC) = 1) r
+    ON r.lib = u.lib AND r.size = u.size LEFT JOIN
+    (SELECT * FROM reg WHERE NOT rc QUALIFY row_number() OVER (PARTITION BY lib ORDER BY size DESC, minor DESC, patch DESC) = 1) n ON n.lib = u.lib"""
+_REG = {"reg": f"""SELECT {LIB} AS lib, p_size AS size, p_partkey % 7 AS minor, p_partkey % 5 AS patch, p_partkey % 4 = 0 AS rc,
+    p_size || '.' || p_partkey % 7 || '.' || p_partkey % 5 AS version FROM part"""}
+
+
+@query("npm_resolution", with_ctes(_RESOLVED, "depl", extra=_REG))
+def _npm_resolution(fleet: Fleet) -> DataFrame:
+    """What every declared range resolves to among the published versions, and how far that is behind."""
+    return targets.resolved_versions(latest_npm(fleet), fleet.published_versions())
+
+
+@query(
+    "version_drift",
+    with_ctes(
+        f"""SELECT lib, sum(uses)::BIGINT AS uses, {", ".join(f"coalesce(sum(uses) FILTER (drift = '{d}'), 0)::BIGINT AS {c}" for d, c in (("major", "major"), ("minor", "minor"), ("patch", "patch"), ("none", "current")))}
+        FROM ({_RESOLVED}) GROUP BY lib""",
+        "depl",
+        extra=_REG,
+    ),
+)
+def _version_drift(fleet: Fleet) -> DataFrame:
+    return targets.version_drift(targets.resolved_versions(latest_npm(fleet), fleet.published_versions()))
+
+
 @query(
     "parent_pom_remediation",
     with_ctes(

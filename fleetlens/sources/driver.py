@@ -307,6 +307,15 @@ class Fleet:
             F.col("p_size").alias("published"),
         )
 
+    def published_versions(self) -> DataFrame:
+        """All versions in the registry, release candidates too: one row per part."""
+        key = F.col("p_partkey")
+        number = _text(F.col("p_size"), ".", key % 7, ".", key % 5)
+        return self.table("part").select(
+            library(F.col("p_type"), F.col("p_brand")).alias("lib"),
+            F.when(key % 4 == 0, _text(number, "-rc.", key % 3)).otherwise(number).alias("version"),
+        )
+
     def dependency_edges(self) -> DataFrame:
         """part -> part by halving the key: acyclic, depth log2(n)."""
         return self.table("part").filter("p_partkey >= 1").select(

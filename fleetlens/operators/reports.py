@@ -90,21 +90,6 @@ def usage_over_time(facts: DataFrame) -> DataFrame:
     return joined.select("month", "type", "name", "value", "uses", F.round(F.col("uses") / F.col("_total"), 6).alias("share"))
 
 
-def approx_variants(facts: DataFrame, error: float = 0.02) -> DataFrame:
-    """Estimated variants per (type, name) in constant memory per group; ``error`` is the relative deviation."""
-    return facts.groupBy("type", "name").agg(
-        F.count("*").alias("uses"), F.approx_count_distinct("sha", error).alias("variants")
-    )
-
-
-def approx_variants_check(facts: DataFrame, error: float = 0.02) -> DataFrame:
-    """(type, name, uses, exact, close): the exact number of variants, and whether the estimate lies within five
-    deviations of it (or one variant)."""
-    exact = facts.groupBy("type", "name").agg(F.count_distinct("sha").alias("exact"))
-    off = F.abs(F.col("variants") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * (5 * error))
-    return approx_variants(facts, error).join(exact, ["type", "name"]).select("type", "name", "uses", "exact", off.alias("close"))
-
-
 def repo_overview(facts: DataFrame, repo_tags: DataFrame, repo_scores: DataFrame) -> DataFrame:
     """All facts, tags and scores as one long table (repo, kind, name, value)."""
     return (

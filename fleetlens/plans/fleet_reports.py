@@ -9,12 +9,14 @@ from fleetlens.functions.display import display_value
 from fleetlens.operators import aspects as a
 from fleetlens.operators import reports as r
 from fleetlens.operators import scores as s
+from fleetlens.operators import sketches
 from fleetlens.operators import tags as t
 from fleetlens.operators.aspects import fact_items
 from fleetlens.plans.judgement import SCORE_SQL, TAG_SQL, _score_sql, _tag_sql, all_tags, profile
 from fleetlens.plans.registry import query
-from fleetlens.plans.sources import default_pushes, npm_facts, with_push_time
+from fleetlens.plans.sources import STORED_BEFORE, default_pushes, npm_facts, with_push_time
 from fleetlens.plans.sql import with_ctes
+from fleetlens.session import scratch_path
 from fleetlens.sources.driver import Fleet
 
 
@@ -129,13 +131,54 @@ def _usage_over_time(fleet: Fleet) -> DataFrame:
     return r.usage_over_time(with_push_time(_with_value(npm_facts(fleet, default_pushes(fleet))), fleet))
 
 
+def _variant_store(fleet: Fleet) -> DataFrame:
+    """The sketches of the fleet, stored; the pushes of two periods are appended one after the other."""
+    location = scratch_path(fleet.spark, "variant-sketches")
+    pushes = default_pushes(fleet)
+    early = F.col("ts") < F.lit(STORED_BEFORE).cast("timestamp_ntz")
+    for scope in (pushes.filter(early), pushes.filter(~early)):
+        facts = with_push_time(npm_facts(fleet, scope), fleet).join(fleet.repos().select("repo", "owner"), "repo")
+        sketches.append(sketches.variant_sketches(facts), location)
+    return sketches.stored(fleet.spark, location)
+
+
 @query(
     "approx_variants",
     with_ctes(
-        """SELECT type, name, count(*) AS uses, count(DISTINCT sha) AS exact, true AS close
+        """SELECT type, name, count(*) AS uses, count(DISTINCT sha) AS variants
         FROM dep JOIN pushes USING (push_id) WHERE is_default GROUP BY type, name""",
         "dep", "pushes",
     ),
 )
 def _approx_variants(fleet: Fleet) -> DataFrame:
-    return r.approx_variants_check(npm_facts(fleet, default_pushes(fleet)))
+    """Read from the stored sketches only. As few variants as the given fleet has are counted exactly by a sketch."""
+    return sketches.variants(_variant_store(fleet), ["type", "name"])
+
+
+@query(
+    "approx_variants_by_owner",
+    with_ctes(
+        """SELECT owner, type, name, count(*) AS uses, count(DISTINCT sha) AS variants FROM dep JOIN pushes USING (push_id)
+        JOIN repos USING (repo) WHERE is_default AND strftime(ts, '%Y-%m') BETWEEN '1994-04' AND '1996-09' GROUP BY ALL""",
+        "dep", "pushes", "repos",
+    ),
+)
+def _approx_variants_by_owner(fleet: Fleet) -> DataFrame:
+    return sketches.variants(sketches.between(_variant_store(fleet), "1994-04", "1996-09"), ["owner", "type", "name"])
+
+
+@query(
+    "build_time_quantiles",
+    with_ctes(
+        """SELECT repo, count(*) AS builds, round(avg(value), 6) AS mean_seconds, max(value) AS max_seconds,
+        quantile_disc(value, 0.5) AS half_seconds, quantile_disc(value, 0.95) AS slow_seconds FROM ev WHERE kind = 'build' GROUP BY repo""",
+        "ev",
+    ),
+)
+def _build_time_quantiles(fleet: Fleet) -> DataFrame:
+    """Durations per repository from stored monthly sketches."""
+    location = scratch_path(fleet.spark, "build-sketches")
+    builds = fleet.delivery_events().filter(F.col("kind") == "build")
+    sketches.append(sketches.build_sketches(builds), location)
+    found = sketches.build_quantiles(sketches.stored(fleet.spark, location), ["repo"], {"half_seconds": 0.5, "slow_seconds": 0.95})
+    return found.withColumn("mean_seconds", F.round("mean_seconds", 6))

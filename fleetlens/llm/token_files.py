@@ -217,9 +217,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document of the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``. One row per file reaches the
     driver, to add up where each file starts."""
     spark, total, files = manifest.sparkSession, 0, []
-    for row in manifest.orderBy("part").toLocalIterator():
-        files.append((row.path, total))
-        total += row.ids
+    # collected in one statement: an iterator over a sorted frame reads its shuffle after the statement that made it
+    for _, path, ids in sorted(manifest.select("part", "path", "ids").collect()):
+        files.append((path, total))
+        total += ids
 
     def run(batches):
         for batch in batches:

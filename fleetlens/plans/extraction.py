@@ -12,10 +12,10 @@ from fleetlens.operators import extractors as x
 from fleetlens.operators import presence
 from fleetlens.operators.aspects import extract_facts, rejects
 from fleetlens.operators.ci import document_shas, travis_profile
-from fleetlens.operators.closure import transitive_dependencies
+from fleetlens.operators.maven import effective_models, resolve
 from fleetlens.plans.registry import query
 from fleetlens.plans.sql import envelope, with_ctes
-from fleetlens.sources.driver import PRIORITY_FILES, Fleet
+from fleetlens.sources.driver import FAMILIES, PLATFORMS, PRIORITY_FILES, Fleet
 
 FACT = "repo, push_id, type, name, abbreviation, version, data, sha256(data) AS sha"
 
@@ -125,7 +125,48 @@ _facts(
     SELECT src, dst, min(depth) AS depth, min(depth) = 1 AS direct FROM c GROUP BY src, dst""",
 )
 def _maven_all_deps(fleet: Fleet) -> DataFrame:
-    return transitive_dependencies(fleet.dependency_edges())
+    """Resolved from the text of the POMs; a part's POM declares the part of half its key."""
+    models = effective_models(fleet.chain_poms())
+    number = lambda c, i: F.regexp_extract(c, "part-([0-9]+)", i).cast("bigint")
+    found = resolve(models, models.select(F.col("id").alias("root")))
+    return found.select(number("root", 1).alias("src"), number("artifact", 1).alias("dst"), "depth", "direct")
+
+
+def _resolved_sql(rounds: int = 20) -> str:
+    """Nearest version of every family, one expression a round; 20 rounds reach down from keys below 2^20."""
+    pin = lambda k: f"CASE WHEN {k} % {FAMILIES} = root % {PLATFORMS} THEN {k} % {FAMILIES} + {FAMILIES} ELSE {k} END"
+    step = f"""SELECT root, k, scope, path, banned, '1' AS step, k // 2 AS c, 'compile' AS own, false AS optional,
+        CASE WHEN k % 7 = 0 THEN list_append(banned, (k // 4) % {FAMILIES}) ELSE banned END AS next_banned FROM {{t}} WHERE k // 2 > 0 UNION ALL
+        SELECT root, k, scope, path, banned, '2', k // 3, CASE k % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'runtime' ELSE 'compile' END, k % 11 = 0, banned
+        FROM {{t}} WHERE k // 3 > 0"""
+    parts = ["p0 AS (SELECT p_partkey AS root, p_partkey AS k, 'compile' AS scope, '' AS path, []::BIGINT[] AS banned FROM part WHERE p_partkey >= 1)",
+             f"t0 AS (SELECT root, root % {FAMILIES} AS family FROM p0)"]
+    for i in range(1, rounds + 1):
+        low = "" if i == 1 else " AND NOT optional AND own <> 'test'"
+        scope = "own" if i == 1 else "CASE WHEN scope = 'compile' THEN own ELSE scope END"
+        version = "k" if i == 1 else pin("k")
+        parts += [
+            f"e{i} AS ({step.format(t=f'p{i - 1}')})",
+            f"""c{i} AS (SELECT root, c AS k, {scope} AS scope, path || step AS path, next_banned AS banned FROM e{i}
+                WHERE NOT list_contains(banned, c % {FAMILIES}){low})""",
+            f"""b{i} AS (SELECT root, k % {FAMILIES} AS family, arg_min(k, path) AS k, arg_min(scope, path) AS scope, min(path) AS path, arg_min(banned, path) AS banned
+                FROM c{i} WHERE NOT EXISTS (SELECT 1 FROM t{i - 1} t WHERE t.root = c{i}.root AND t.family = c{i}.k % {FAMILIES}) GROUP BY ALL)""",
+            f"p{i} AS (SELECT root, {version} AS k, scope, path, banned FROM b{i})",
+            f"t{i} AS (SELECT * FROM t{i - 1} UNION ALL SELECT root, family FROM b{i})",
+        ]
+    found = " UNION ALL ".join(f"SELECT root, k, scope, {i} AS depth FROM p{i}" for i in range(1, rounds + 1))
+    return f"""WITH {", ".join(parts)} SELECT root AS part, 'com.fleet:fam-' || k % {FAMILIES} AS name, k::VARCHAR AS version, scope,
+        depth::BIGINT AS depth, depth = 1 AS direct FROM ({found})"""
+
+
+@query("maven_resolved", _resolved_sql())
+def _maven_resolved(fleet: Fleet) -> DataFrame:
+    """Dependency mediation: parents, properties, management, scopes, exclusions, nearest versions."""
+    models = effective_models(fleet.family_poms())
+    roots = models.filter(F.col("artifact").startswith("fam-")).select(F.col("id").alias("root"))
+    found = resolve(models, roots)
+    part = F.element_at(F.split("root", ":"), 3).cast("bigint").alias("part")
+    return found.select(part, F.concat_ws(":", "group", "artifact").alias("name"), "version", "scope", "depth", "direct")
 
 
 @query(

@@ -59,6 +59,7 @@ PRIORITY_FILES = {
 }
 SOURCE_EXTENSION = {"PROMO": "java", "ECONOMY": "ts", "SMALL": "py", "MEDIUM": "yml", "LARGE": "sh", "STANDARD": "ps1"}
 LINES_PER_UNIT = 20
+FAMILIES, PLATFORMS = 50, 5
 
 PACKAGE_JSON = "package.json"
 LINE_KINDS = {
@@ -316,11 +317,42 @@ class Fleet:
             F.when(key % 4 == 0, _text(number, "-rc.", key % 3)).otherwise(number).alias("version"),
         )
 
-    def dependency_edges(self) -> DataFrame:
-        """part -> part by halving the key: acyclic, depth log2(n)."""
-        return self.table("part").filter("p_partkey >= 1").select(
-            F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst")
-        )
+    def chain_poms(self) -> DataFrame:
+        """(key, content): a POM per part that declares the part of half its key, its version by a property."""
+        key = F.col("p_partkey")
+        half = F.expr("p_partkey div 2")
+        text = _text(
+            "<project>\n  <groupId>com.fleet.chain</groupId><artifactId>part-", key, "</artifactId><version>1.", key % 10,
+            "</version>\n  <properties><half.version>1.", half % 10, "</half.version></properties>\n  <dependencies>",
+            _pom_dependency("com.fleet.chain", _text("part-", half), "${half.version}"), "</dependencies>\n</project>\n",
+        )
+        return self.table("part").filter("p_partkey >= 1").select(key.alias("key"), text.alias("content"))
+
+    def family_poms(self) -> DataFrame:
+        """(key, content): a POM per part, version ``key`` of one of ``FAMILIES`` artifacts, that declares the parts of
+        half and of a third of its key, and the POMs of ``PLATFORMS`` parents. Platform j manages family j."""
+        key, half, third = F.col("p_partkey"), F.expr("p_partkey div 2"), F.expr("p_partkey div 3")
+        family = lambda k: _text("fam-", k % FAMILIES)
+        shunned = F.when(key % 7 == 0, _text("<exclusions><exclusion><groupId>com.fleet</groupId><artifactId>", family(F.expr("p_partkey div 4")), "</artifactId></exclusion></exclusions>")).otherwise("")
+        scope = F.when(key % 3 == 0, "<scope>test</scope>").when(key % 3 == 1, "<scope>runtime</scope>").otherwise("")
+        optional = F.when(key % 11 == 0, "<optional>true</optional>").otherwise("")
+        text = _text(
+            "<project>\n  <parent><groupId>com.fleet</groupId><artifactId>platform-", key % PLATFORMS, "</artifactId><version>1</version></parent>\n",
+            "  <!-- <dependency><groupId>com.fleet</groupId><artifactId>gone</artifactId></dependency> -->\n  <artifactId>", family(key),
+            "</artifactId>\n  <version>", key, "</version>\n  <properties><half>", half, "</half><half.version>${half}</half.version></properties>\n  <dependencies>\n",
+            F.when(half > 0, _pom_dependency("${fleet.group}", family(half), "${half.version}", shunned)).otherwise(""),
+            F.when(third > 0, _pom_dependency("com.fleet", family(third), third.cast("string"), _text(scope, optional))).otherwise(""),
+            "  </dependencies>\n  <build><plugins><plugin><dependencies>", _pom_dependency("x", "plugin", "1"), "</dependencies></plugin></plugins></build>\n</project>\n",
+        )
+        number = F.col("j")
+        platform = _text(
+            "<project><groupId>com.fleet</groupId><artifactId>platform-", number, "</artifactId><version>1</version><properties><fleet.group>com.fleet",
+            "</fleet.group></properties><dependencyManagement><dependencies>", _pom_dependency("com.fleet", _text("fam-", number), _text(number + FAMILIES)),
+            "</dependencies></dependencyManagement></project>\n",
+        )
+        parts = self.table("part").filter("p_partkey >= 1")
+        numbers = parts.select((F.col("p_partkey") % PLATFORMS).alias("j")).distinct()
+        return parts.select(key.alias("key"), text.alias("content")).unionByName(numbers.select(F.lit(None).cast("bigint").alias("key"), platform.alias("content")))
 
 
 # --- renderers: columns over the collected (brand, size) arrays of a push ----
@@ -382,6 +414,13 @@ def _pom() -> list[Column]:
     return [_file(_some("PROMO"), "pom.xml", text)]
 
 
+def _pom_dependency(group: str, artifact: Column | str, version: Column | str, rest: Column | str = "") -> Column:
+    return _text(
+        "    <dependency>\n      <groupId>", group, "</groupId>\n      <artifactId>", artifact, "</artifactId>\n      <version>", version, "</version>", rest,
+        "\n    </dependency>\n",
+    )
+
+
 def _module_pom() -> list[Column]:
     top, first = F.array_max(_sizes("PROMO")), F.get(F.col("PROMO"), F.lit(0))["brand"]
     text = _text(

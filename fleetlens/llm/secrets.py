@@ -8,9 +8,9 @@ span runs from the first to the last window whose entropy reaches the threshold
 Allow-listed candidates (UUIDs, dates and versions, words of examples, paths of plain words) are left out, as are those
 that overlap a base span.
 
-Everything is column expressions. Matches come from one regular expression pass; their places are found by looking for
-each match from the end of the one before it. As a match is the longest run of its pattern, the first place where its
-text stands is the place where it matched.
+Everything is column expressions. Matches come from one regular expression pass, and a split by the same pattern gives
+the text between them, so their places are running sums of lengths. Sums run over chunks of matches, and base spans are
+looked up by blocks of the text, so the time for a text does not grow with the square of its matches.
 """
 
 from __future__ import annotations
@@ -42,11 +42,14 @@ ALLOWED = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T_-].*)?$",
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{8}|0{8}|1234567890|0123456789|abcdefghij",
     r"^[A-Za-z/_=+-]*[0-9]{0,4}$",
-    r"^([A-Za-z]+[0-9]{0,4}[/_=+-]+)*[A-Za-z]*[0-9]{0,4}$",
+    r"^(?:[A-Za-z]+[0-9]{0,4}[/_=+-]+)*+[A-Za-z]*[0-9]{0,4}$",  # possessive: no stack frame for each part
 )
 
 _XLOGX = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 _SPAN = "struct<start:int,kind:int,end:int>"
+_FOUND = "struct<start:int,kind:int,end:int,text:string>"
+#: Matches whose places are added up at once, and code points of a block.
+CHUNK, BLOCK = 256, 4096
 
 
 def let(value: Column, body) -> Column:
@@ -54,23 +57,57 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def places(text: Column, matches: Column, kind: int, valid) -> Column:
-    """Array of (start, kind, end) of the matches that are ``valid``, in code points, the end exclusive."""
-    begin = F.struct(F.array().cast(f"array<{_SPAN}>").alias("spans"), F.lit(1).alias("at"))
+def places(gaps: Column, matches: Column, kind: int, valid) -> Column:
+    """Array of (start, kind, end, text) of the matches that are ``valid``, in code points, the end exclusive. ``gaps`` is
+    what stands before each match."""
+    none = F.array().cast(f"array<{_FOUND}>")
 
-    def step(state, match):
-        def found(at):
-            end = at + F.char_length(match)
-            span = F.struct((at - 1).alias("start"), F.lit(kind).alias("kind"), (end - 1).alias("end"))
-            return F.struct(F.when(valid(match), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"), end.alias("at"))
+    def chunk(pairs):  # spans counted from the end of the chunk before, and the length of the chunk
+        def step(state, pair):
+            def found(start):
+                end = start + F.char_length(pair["match"])
+                span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["match"].alias("text"))
+                return F.struct(F.when(valid(pair["match"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"), end.alias("at"))
 
-        return let(F.call_function("locate", match, text, state["at"]), found)
+            return let(state["at"] + F.char_length(pair["gap"]), found)
 
-    return F.aggregate(matches, begin, step)["spans"]
+        return F.aggregate(pairs, F.struct(none.alias("spans"), F.lit(0).alias("at")), step)
 
+    def whole(pairs):
+        at = F.when(F.size(pairs) > 0, F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
 
-def _matches(text: Column, pattern: str, maybe: Column) -> Column:
-    return F.when(maybe, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        def shifted(state, part):
+            moved = F.transform(part["spans"], lambda x: F.struct((x["start"] + state["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + state["at"]).alias("end"), x["text"].alias("text")))
+            return F.struct(F.concat(state["spans"], moved).alias("spans"), (state["at"] + part["at"]).alias("at"))
+
+        return F.aggregate(F.transform(at, lambda i: chunk(F.slice(pairs, i, F.lit(CHUNK)))), F.struct(none.alias("spans"), F.lit(0).alias("at")), shifted)["spans"]
+
+    return let(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("match")), whole)
+
+
+def _split(text: Column, pattern: str, maybe: Column = None) -> tuple[Column, Column]:
+    """What stands before each match (and after the last one), and the matches; none unless ``maybe`` holds."""
+    none = F.array().cast("array<string>")
+    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return (gaps, matches) if maybe is None else (F.when(maybe, gaps).otherwise(none), F.when(maybe, matches).otherwise(none))
+
+
+def overlapping(spans: Column, last: Column):
+    """A test whether a span overlaps one of ``spans``, which are dealt to the blocks of the text they touch."""
+
+    def build(body):
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int")),
+            lambda b: F.filter(spans, lambda x: (x["start"] < (b + 1) * BLOCK) & (x["end"] > b * BLOCK)),
+        )
+
+        def test(known):
+            touches = lambda s, b: F.exists(F.element_at(known, b + 1), lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"]))
+            return body(lambda s: F.exists(F.sequence(F.floor(s["start"] / BLOCK).cast("int"), F.floor((s["end"] - 1) / BLOCK).cast("int")), lambda b: touches(s, b)))
+
+        return let(blocks, test)
+
+    return build
 
 
 def _xlogx(count: Column) -> Column:
@@ -144,37 +181,40 @@ def _listed(spans: Column) -> Column:
 
 
 def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``_base`` and ``_random``: arrays of (start, kind, end) of the base kinds and of the
-    spans the method adds. Null texts are empty."""
-    rows = docs.withColumn("_text", whole_text(text))
-    body, low = F.col("_text"), F.lower(F.col("_text"))
+    """The columns of ``docs`` with ``_fl_base`` and ``_fl_random``: arrays of (start, kind, end) of the base kinds and of
+    the spans the method adds. Null texts are empty; a text may be of any length and hold any number of matches."""
+    rows = docs.withColumn("_fl_text", whole_text(text))
+    body, low = F.col("_fl_text"), F.lower(F.col("_fl_text"))
     assigned = F.contains(low, F.lit("pass")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("api"))
-    rows = rows.withColumns({
-        "_m0": _matches(body, ASSIGN, assigned),
-        "_m1": _matches(body, ACCESS, F.contains(body, F.lit("AKIA"))),
-        "_m2": F.regexp_extract_all(body, F.lit(HEX), F.lit(0)),
-        "_m3": F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)),
-    })
+    patterns = [(ASSIGN, assigned), (ACCESS, F.contains(body, F.lit("AKIA"))), (HEX, None), (CANDIDATE, None)]
+    work = {}
+    for i, (pattern, maybe) in enumerate(patterns):
+        work[f"_fl_gap{i}"], work[f"_fl_match{i}"] = _split(body, pattern, maybe)
+    rows = rows.withColumns(work)
     long_enough = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= SHORTEST_VALUE
     always = lambda m: F.lit(True)
-    rows = rows.withColumn("_base", F.concat(places(body, F.col("_m0"), 0, long_enough), places(body, F.col("_m1"), 1, always), places(body, F.col("_m2"), 2, always)))
-    rows = rows.withColumn("_found", places(body, F.col("_m3"), 3, _suspicious))
-    apart = lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    found = [places(F.col(f"_fl_gap{i}"), F.col(f"_fl_match{i}"), i, valid) for i, valid in enumerate((long_enough, always, always, _suspicious))]
+    plain = lambda spans: F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind", "end")]))
+    rows = rows.withColumn("_fl_base", plain(F.concat(*found[:3]))).withColumn("_fl_found", found[3])
 
     def narrowed(s):
         span = lambda hot: F.struct((s["start"] + hot["first"]).alias("start"), s["kind"].alias("kind"), (s["start"] + hot["last"] + WINDOW).alias("end"))
-        return let(F.substr(body, s["start"] + 1, s["end"] - s["start"]), lambda candidate: let(random_range(candidate), span))
+        return let(random_range(s["text"]), span)
 
-    random = F.filter(F.transform(F.filter("_found", apart), narrowed), lambda s: s["start"].isNotNull())
-    return rows.withColumn("_random", F.when(F.size("_found") > 0, random).otherwise(F.array().cast(f"array<{_SPAN}>"))).drop("_text", "_m0", "_m1", "_m2", "_m3", "_found")
+    hot = lambda spans: F.filter(F.transform(spans, narrowed), lambda s: s["start"].isNotNull())
+    last = F.greatest(F.array_max(F.transform("_fl_found", lambda s: s["end"])), F.lit(0))
+    apart = overlapping(F.col("_fl_base"), last)(lambda test: F.filter("_fl_found", lambda s: ~test(s)))
+    random = F.when(F.size("_fl_base") > 0, let(apart, hot)).otherwise(hot(F.col("_fl_found")))
+    rows = rows.withColumn("_fl_random", F.when(F.size("_fl_found") > 0, random).otherwise(F.array().cast(f"array<{_SPAN}>")))
+    return rows.drop("_fl_text", "_fl_found", *work)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id``, the numbers of base spans by kind, the hash of the base spans, and all spans as text
     (``kind:start:end``, comma-joined by start, then kind)."""
     rows = secret_spans(docs.select("doc_id", "text"))
-    number = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{KINDS[kind]}")
-    return rows.select("doc_id", number(0), number(1), number(2), F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.concat("_base", "_random")).alias("spans"))
+    number = lambda kind: F.size(F.filter("_fl_base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{KINDS[kind]}")
+    return rows.select("doc_id", number(0), number(1), number(2), F.sha2(_listed(F.col("_fl_base")), 256).alias("base_sha256"), _listed(F.concat("_fl_base", "_fl_random")).alias("spans"))
 
 
 @query("op6_secrets")

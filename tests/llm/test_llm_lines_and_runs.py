@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fleetlens.llm import components, importance, line_runs, periodic_runs
+from fleetlens.llm import components, importance, line_runs, periodic_runs, secrets
 from fleetlens.llm.queries import QUERIES
 
 # -- op13 --------------------------------------------------------------------------------------------------------------
@@ -298,3 +298,25 @@ def test_components_keep_every_link_and_shrink(spark, monkeypatch, shape):
     assert sizes[-1] == 0 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False))
     if shape.startswith("star"):
         assert len(sizes) <= 3
+
+
+# -- long texts of op6 ---------------------------------------------------------------------------------------------------
+
+
+def test_secrets_of_texts_with_many_parts_and_matches(docs):
+    random, run = "aB3xY9kLm2Qw8ErT5uIo7", "0123456789abcdef01234567"
+    texts = ["ab-" * 100_000 + "9x", f"{run} " * 100_000, f"é{random} " * 5_000, f"token=abcdef{run} x {random}\n" * 2_000, "a/b2-" * 60_000]
+    rows = {r.doc_id: r for r in secrets.scan(docs(texts, extra={"_base": "x", "_fl_base": "y", "spans": "z", "_m0": "m"})).collect()}
+    assert [(rows[i].n_assign, rows[i].n_access, rows[i].n_hex) for i in range(5)] == [(0, 0, 0), (0, 0, 100_000), (0, 0, 0), (2_000, 0, 2_000), (0, 0, 0)]
+    assert rows[0].spans == rows[4].spans == ""
+    assert rows[1].spans == ",".join(f"hex:{25 * i}:{25 * i + 24}" for i in range(100_000))
+    assert rows[2].spans == ",".join(f"entropy:{23 * i + 1}:{23 * i + 22}" for i in range(5_000))
+    line = len(f"token=abcdef{run} x {random}\n")
+    first = rows[3].spans.split(",")[:3]
+    assert first == ["assign:0:36", "hex:6:36", "entropy:39:60"] and len(rows[3].spans.split(",")) == 6_000
+    assert rows[3].spans.split(",")[-1] == f"entropy:{1999 * line + 39}:{1999 * line + 60}"
+
+
+def test_secrets_of_an_empty_table(docs):
+    assert secrets.scan(docs([])).collect() == []
+    assert [tuple(r)[1:4] for r in secrets.scan(docs([None, ""])).collect()] == [(0, 0, 0)] * 2

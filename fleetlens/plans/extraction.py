@@ -461,15 +461,16 @@ def _exposed_secrets(fleet: Fleet) -> DataFrame:
 @query(
     "canonical_sha",
     with_ctes(
-        """SELECT repo, push_id, path, sha256(raw_data) AS sha FROM deploy JOIN pushes USING (push_id)
-        WHERE path = 'deploy.json'""",
+        "SELECT repo, push_id, path, sha256(raw_data) AS sha FROM deploy JOIN pushes USING (push_id)",
         "deploy", "pushes",
     ),
 )
 def _canonical_sha(fleet: Fleet) -> DataFrame:
-    """The rendered files have two key orders; the hash has one."""
-    files = fleet.files(["deploy"]).filter(F.col("path") == "deploy.json")
-    return files.select("repo", "push_id", "path", canonical_sha(F.col("content")).alias("sha"))
+    """The rendered files have two key orders and two formats; the hash has one. Only YAML files go to Python."""
+    files = fleet.files(["deploy"])
+    is_yaml = F.col("path").rlike("\\.ya?ml$")
+    plain = files.filter(~is_yaml).select("repo", "push_id", "path", canonical_sha(F.col("content")).alias("sha"))
+    return plain.unionByName(document_shas(files.filter(is_yaml), ["repo", "push_id"]).select("repo", "push_id", "path", "sha"))
 
 
 @query(

@@ -67,13 +67,13 @@ TAG_SQL = {
 assert set(TAG_SQL) == set(t.taggers() | t.combination_taggers())
 
 
-def _tag_sql(tags: list[str]) -> str:
-    cases = ", ".join(f"CASE WHEN {TAG_SQL[tag]} THEN '{tag}' END" for tag in tags)
+def _tag_sql(tags: list[str], conditions: dict[str, str] = TAG_SQL) -> str:
+    cases = ", ".join(f"CASE WHEN {conditions[tag]} THEN '{tag}' END" for tag in tags)
     return with_ctes(f"SELECT repo, tag FROM (SELECT repo, unnest([{cases}]) AS tag FROM prof) WHERE tag IS NOT NULL", "prof")
 
 
-def _tags(key: str, tags: dict, columns: list[str], kinds: list[str]) -> None:
-    @query(key, _tag_sql(list(tags)))
+def _tags(key: str, tags: dict, columns: list[str], kinds: list[str], conditions: dict[str, str] = TAG_SQL) -> None:
+    @query(key, _tag_sql(list(tags), conditions))
     def job(fleet: Fleet) -> DataFrame:
         return t.tag_repos(profile(fleet, columns, kinds), tags)
 
@@ -96,7 +96,8 @@ _tags("tags_library_when", t.LIBRARY_WHEN_TAGS, ["angular"], ["package.json"])
 _tags("tags_by_class", t.CLASS_TAGS, ["jenkins", "circle"], ["priority"])
 _tags("tags_by_file_match", t.FILE_TAGS, ["azure", "csharp", "snyk"], ["App.csproj", "priority"])
 _tags("tags_line_count", t.LINE_TAGS, ["lines"], ["src"])
-_tags("tags_branching", t.branching_tags(), ["branches"], [])
+# repositories of the given fleet have at most three branches: the limit is set where it tells them apart
+_tags("tags_branching", t.branching_tags(2), ["branches"], [], {"excessive-branches": "branches > 2"})
 _tags("tags_dead", t.dead_tags(), ["days"], [])
 _tags("tags_hot", t.hot_tags(), ["days", "committers"], [])
 _tags("tags_readme", t.README_TAGS, ["readme_length"], ["README.md"])

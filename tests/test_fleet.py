@@ -155,7 +155,7 @@ def test_plans_have_no_nested_loops(spark, name):
     python = {
         "travis_scripts", "travis_profile", "yaml_or_json_ingest", "k8s_specs", "k8s_normalise", "k8s_remediation", "rejects",
         "fingerprint_envelope", "display_value", "display_name", "diff_summary", "repo_tags", "tags_by_type", "tag_counts",
-        "repo_scores", "repo_total_score", "repo_profile",
+        "repo_scores", "repo_total_score", "repo_profile", "canonical_sha",
     }
     assert ("ArrowEvalPython" in plan) <= (name in python)
 

@@ -11,6 +11,8 @@ from fleetlens.operators.presence import assign_projects, virtual_projects
 from fleetlens.operators.reports import usage
 from fleetlens.plans.registry import query
 from fleetlens.plans.sql import with_ctes
+from fleetlens.session import scratch_path
+from fleetlens.sources.content_store import ContentStore
 from fleetlens.sources.driver import Fleet
 from fleetlens.sources.files import files_by_glob, files_by_path
 from fleetlens.sources.store import as_documents, incremental_scope, latest_state, repo_scope, upsert
@@ -83,6 +85,25 @@ def _incremental_scope(fleet: Fleet) -> DataFrame:
     return incremental_scope(scope, stored)
 
 
+@query(
+    "incremental_facts",
+    with_ctes(
+        """SELECT repo, push_id, type, name, data, sha256(data) AS sha FROM (
+        SELECT push_id, 'python-direct-dep' AS type, name, data FROM py UNION ALL
+        SELECT push_id, 'docker-base-image', 'registry/' || brand, '{"image":"registry/' || brand || '","version":"' || size || '"}' FROM bl
+        WHERE p_type = 'LARGE') JOIN pushes USING (push_id) WHERE is_default""",
+        "py", "bl", "pushes",
+    ),
+)
+def _incremental_facts(fleet: Fleet) -> DataFrame:
+    """Pushes are analysed in two runs over one store; the second reads only contents that the first has not seen."""
+    store = ContentStore(fleet.spark, scratch_path(fleet.spark, "contents"), [a.PYTHON, a.DOCKER_FROM])
+    pushes = default_pushes(fleet)
+    files = lambda scope: fleet.files(["requirements.txt", "Dockerfile"], scope)
+    store.add(files(pushes.filter(F.col("ts") < F.lit(STORED_BEFORE).cast("timestamp_ntz"))))
+    return store.extract(files(pushes), ["repo", "push_id"]).select("repo", "push_id", "type", "name", "data", "sha")
+
+
 @query(
     "virtual_projects",
     with_ctes(

@@ -74,8 +74,8 @@ def fold(modulus: int, column: str = "doc_id") -> Column:
 def likely_in(rows: DataFrame, marks: DataFrame, key: str, bits: int = 23) -> DataFrame:
     """The rows of ``rows`` whose ``key`` may be in ``marks``, and some others: before a semi join, so that most rows
     without a partner need not be shuffled. A bitmap of ``2^bits`` bits (1 MiB) is broadcast, a fixed size."""
-    hash_ = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    word, bit = F.shiftright("_fl_hash", 6), F.expr("shiftleft(1L, cast(_fl_hash % 64 as int))")
+    hash_ = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))  # never null, so no filter repeats the key
+    word, bit = F.shiftright("_fl_hash", 6), F.expr("shiftleft(1L, cast(_fl_hash & 63 as int))")
     bitmap = marks.select(hash_.alias("_fl_hash")).groupBy(word.alias("_fl_word")).agg(F.bit_or(bit).alias("_fl_bits"))
     found = rows.withColumn("_fl_hash", hash_).withColumn("_fl_word", word).join(F.broadcast(bitmap), "_fl_word")
     return found.filter(F.col("_fl_bits").bitwiseAND(bit) != 0).select(*rows.columns)

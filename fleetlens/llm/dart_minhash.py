@@ -251,7 +251,7 @@ def near_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHO
     dealt = dealt.select("digest", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("digest", "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     texts = docs.select(digest(text).alias("digest"), whole_text(text).alias("text"))
-    texts = likely_in(texts, groups, "digest").join(groups.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    texts = likely_in(texts, groups, "digest").dropDuplicates(["digest"])  # the join below drops the others
     units = texts.join(dealt, "digest").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "digest")
     found = cut_lineage(units.mapInArrow(_links_of_groups(threshold), "a binary, b binary"), "links")
     up = components(found).withColumnRenamed("root", "parent")

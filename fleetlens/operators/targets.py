@@ -7,7 +7,7 @@ fact side when it does not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.names import npm_name_decode, npm_name_encode
@@ -15,7 +15,7 @@ from fleetlens.functions.payload import sha_of
 from fleetlens.functions.versions import KEY as VERSION_KEY
 from fleetlens.functions.versions import base_version, drift_class, in_terms, precedence, range_terms, satisfies
 from fleetlens.operators.extractors import NPM
-from fleetlens.operators.sequencing import number_rows
+from fleetlens.session import cut_lineage
 
 IDEAL_REASON = "latest from NPM"
 
@@ -66,28 +66,36 @@ def policy_compliance(facts: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def target_asof(facts: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
-    """Each fact (with ``ts``) with the target that was valid at that time.
+def target_asof(facts: DataFrame, history: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Each fact (with ``ts``) with the target that was valid at that time; facts before the first target are left out.
 
-    A target is valid from ``valid_from`` until the next one of its key. The
-    intervals are cut into months, which makes the range condition an equi join
-    on (type, name, month) where each fact meets at most the targets that start
-    within one month.
+    ``history`` is (type, name, target_data, valid_from, ...); targets that start after ``as_of`` are not read. Facts and
+    targets are merged in the order of time: rows are range partitioned by (type, name, time), the last target is carried
+    along each range, and into later ranges of the key by a summary of one row per range. No interval is unfolded, and
+    the facts of one name lie in as many ranges as they fill.
     """
-    keyed = history.withColumn("_target", F.to_json(F.struct("type", "name")))
-    numbered = number_rows(keyed, "_target", ["valid_from", "target_data"])
-    following = numbered.select(
-        F.col("_target").alias("_k"), (F.col("seq") - 1).alias("_s"), F.col("valid_from").alias("_until")
-    )
-    intervals = numbered.join(following, (F.col("_target") == F.col("_k")) & (F.col("seq") == F.col("_s")), "left").drop(
-        "_target", "_k", "_s", "seq", "n"
-    )
-    first = F.trunc("valid_from", "month")
-    last = F.greatest(first, F.trunc(F.coalesce("_until", as_of), "month"))
-    monthly = intervals.withColumn("_month", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
-    joined = facts.withColumn("_month", F.trunc("ts", "month")).join(monthly, ["type", "name", "_month"])
-    valid = (F.col("valid_from") <= F.col("ts")) & (F.col("_until").isNull() | (F.col("ts") < F.col("_until")))
-    return joined.filter(valid).drop("_month", "_until")
+    key, fields = ["type", "name"], [c for c in history.columns if c not in ("type", "name")]
+    kept = [c for c in facts.columns if c not in key]
+    if as_of is not None:
+        history = history.filter(F.col("valid_from") <= as_of)
+    time = facts.schema["ts"].dataType
+    target, fact = F.struct(*fields).alias("_target"), F.struct(*kept).alias("_fact")
+    starts = history.select(*key, F.col("valid_from").cast(time).alias("_at"), target, F.lit(None).cast(facts.select(fact).schema[0].dataType).alias("_fact"))
+    uses = facts.select(*key, F.col("ts").alias("_at"), F.lit(None).cast(history.select(target).schema[0].dataType).alias("_target"), fact)
+    rows = starts.unionByName(uses).withColumns({
+        "_use": F.col("_fact").isNotNull(),  # a target counts for the facts of its own instant
+        "_tie": F.coalesce(F.col("_target.target_data"), F.xxhash64("_fact").cast("string")),
+    })
+    order = ["_at", "_use", "_tie"]
+    ranged = rows.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut_lineage(ranged, "asof-ranges")  # cut points are sampled, and used twice
+    along = Window.partitionBy("_range", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = ranged.withColumn("_here", F.last("_target", ignorenulls=True).over(along)).filter("_use")
+    ends = ranged.groupBy(*key, "_range").agg(F.max_by("_target", F.when(~F.col("_use"), F.struct("_at", "_tie"))).alias("_end"))
+    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).select(*key, "_range", "_before")
+    valid = merged.join(carried, [*key, "_range"]).withColumn("_t", F.coalesce("_here", "_before")).filter("_t IS NOT NULL")
+    return valid.select(*key, *[F.col("_fact")[c].alias(c) for c in kept], *[F.col("_t")[c].alias(c) for c in fields])
 
 
 def promote_target(coordinate_diffs: DataFrame, channels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ the fleet therefore never meets in one task as raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,6 +90,32 @@ def usage_over_time(facts: DataFrame) -> DataFrame:
     return joined.select("month", "type", "name", "value", "uses", F.round(F.col("uses") / F.col("_total"), 6).alias("share"))
 
 
+def adoption_over_time(facts: DataFrame, pushes: DataFrame, until: Column | None = None) -> DataFrame:
+    """Repositories per variant at the end of every month, also of those without a push in it: (month, type, name, value,
+    repos, share).
+
+    ``facts`` is (push_id, type, name, value) and ``pushes`` (repo, push_id, ts). A repository keeps the variants of its last
+    push until a later month has one. It adds one when it takes a variant up and takes one off when it has left it, so
+    only changes are counted; levels are running sums over the months of a variant. Months run from the first one with a
+    push to that of ``until`` (by default the last one with a push).
+    """
+    month = F.year("ts") * 12 + F.month("ts") - 1
+    last = pushes.withColumn("_m", month).groupBy("repo", "_m").agg(F.max_by("push_id", F.struct("ts", "push_id")).alias("push_id"))
+    following = F.lead("_m").over(Window.partitionBy("repo").orderBy("_m"))  # at most one row a month
+    held = facts.select("push_id", "type", "name", "value").distinct().join(last.withColumn("_n", following), "push_id")
+    change = F.explode(F.array(F.struct(F.col("_m").alias("m"), F.lit(1).alias("d")), F.struct(F.col("_n").alias("m"), F.lit(-1).alias("d"))))
+    key = ["type", "name", "value"]
+    changes = held.select(*key, change.alias("c")).filter("c.m IS NOT NULL").groupBy(*key, F.col("c.m").alias("m")).agg(F.sum("c.d").alias("d")).filter("d != 0")
+    along = Window.partitionBy(*key).orderBy("m")
+    end = pushes.agg(F.max(month if until is None else F.greatest(month, F.year(until) * 12 + F.month(until) - 1))).first()[0]  # one number
+    levels = changes.select(*key, "m", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("repos"), F.lead("m").over(along).alias("_next"))
+    months = F.explode(F.sequence(F.col("m"), F.coalesce(F.col("_next") - 1, F.lit(end).cast("int"))))
+    stated = levels.filter("repos > 0").select(*key, "repos", months.alias("m"))
+    totals = stated.groupBy("m", "type", "name").agg(F.sum("repos").alias("_total"))
+    shown = F.format_string("%04d-%02d", F.floor(F.col("m") / 12), F.col("m") % 12 + 1).alias("month")
+    return stated.join(totals, ["m", "type", "name"]).select(shown, *key, "repos", F.round(F.col("repos") / F.col("_total"), 6).alias("share"))
+
+
 def repo_overview(facts: DataFrame, repo_tags: DataFrame, repo_scores: DataFrame) -> DataFrame:
     """All facts, tags and scores as one long table (repo, kind, name, value)."""
     return (

@@ -131,6 +131,24 @@ def _usage_over_time(fleet: Fleet) -> DataFrame:
     return r.usage_over_time(with_push_time(_with_value(npm_facts(fleet, default_pushes(fleet))), fleet))
 
 
+@query(
+    "adoption_over_time",
+    with_ctes(
+        """SELECT printf('%04d-%02d', m // 12, m % 12 + 1) AS month, type, name, version AS value, count(*) AS repos,
+        round(count(*) / sum(count(*)) OVER (PARTITION BY m, type, name), 6) AS share FROM state JOIN dep USING (push_id) GROUP BY m, type, name, version""",
+        "dep", "pushes",
+        extra={
+            "dated": "SELECT repo, push_id, ts, year(ts) * 12 + month(ts) - 1 AS pm FROM pushes WHERE is_default",
+            "months": "SELECT unnest(range((SELECT min(pm) FROM dated), (SELECT max(pm) FROM dated) + 1)) AS m",
+            "state": "SELECT repo, m, arg_max(push_id, (ts, push_id)) AS push_id FROM months JOIN dated ON pm <= m GROUP BY repo, m",
+        },
+    ),
+)
+def _adoption_over_time(fleet: Fleet) -> DataFrame:
+    pushes = default_pushes(fleet)
+    return r.adoption_over_time(_with_value(npm_facts(fleet, pushes)), pushes)
+
+
 def _variant_store(fleet: Fleet) -> DataFrame:
     """The sketches of the fleet, stored; the pushes of two periods are appended one after the other."""
     location = scratch_path(fleet.spark, "variant-sketches")

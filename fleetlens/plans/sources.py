@@ -11,9 +11,10 @@ from fleetlens.operators.presence import assign_projects, virtual_projects
 from fleetlens.operators.reports import usage
 from fleetlens.plans.registry import query
 from fleetlens.plans.sql import with_ctes
-from fleetlens.session import scratch_path
+from fleetlens.session import cut_lineage, scratch_path
 from fleetlens.sources.content_store import ContentStore
 from fleetlens.sources.driver import Fleet
+from fleetlens.sources.fact_store import FactStore
 from fleetlens.sources.files import files_by_glob, files_by_path
 from fleetlens.sources.store import as_documents, incremental_scope, latest_state, repo_scope, upsert
 
@@ -138,6 +139,28 @@ def _store_upsert(fleet: Fleet) -> DataFrame:
     return merged.select("repo", "type", "name", "push_id", "sha")
 
 
+@query(
+    "fact_store",
+    with_ctes(
+        """SELECT repo, type, name, push_id, sha FROM dep JOIN pushes USING (push_id) WHERE is_default
+        QUALIFY row_number() OVER (PARTITION BY repo, type, name ORDER BY ts DESC, push_id DESC, sha DESC) = 1""",
+        "dep", "pushes",
+    ),
+)
+def _fact_store(fleet: Fleet) -> DataFrame:
+    """Three periods arrive at a bucketed store, the newest before the middle one, with a compaction between."""
+    facts = with_push_time(npm_facts(fleet, default_pushes(fleet)), fleet).select("repo", "type", "name", "push_id", "ts", "sha")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in facts.schema)
+    store = FactStore(fleet.spark, scratch_path(fleet.spark, "fact-store"), schema, int(fleet.spark.conf.get("spark.sql.shuffle.partitions")))
+    facts = cut_lineage(facts, "facts")
+    periods = [F.year("ts") < 1997, F.year("ts") >= 1999, F.year("ts").between(1997, 1998)]
+    for i, period in enumerate(periods):
+        store.upsert(facts.filter(period))
+        if i == 1:
+            store.compact()
+    return store.read().select("repo", "type", "name", "push_id", "sha")
+
+
 @query("latest_state", with_ctes("SELECT repo, push_id, type, name, sha FROM depl", "depl"))
 def _latest_state(fleet: Fleet) -> DataFrame:
     latest = fleet.latest_pushes()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.payload import canonical_sha, sha_of
+from fleetlens.functions.documents import with_document_and_spec
+from fleetlens.functions.payload import canonical_json, canonical_sha, sha_of
 from fleetlens.functions.text import unix_lines
 from fleetlens.operators import aspects as a
 from fleetlens.operators import extractors as x
@@ -252,11 +253,18 @@ _facts(
     ),
 )
 def _k8s_normalise(fleet: Fleet) -> DataFrame:
-    """Hash of each resource with and without its managed-by label, from one read of the file."""
-    files = fleet.files(["deploy"])
-    raw = document_shas(files).select("repo", "push_id", "path", F.col("sha").alias("raw_sha"))
-    facts = extract_facts(files, [a.K8S], ["repo", "push_id", "path"])
-    return raw.join(facts.select("repo", "push_id", "path", "sha"), ["repo", "push_id", "path"])
+    """Hash of each resource with and without its managed-by label. A file is rendered, read and parsed once; files of one
+    path of one push are paired with all resources of that path."""
+    keys = ["repo", "push_id", "path"]
+    files = with_document_and_spec(fleet.files(["deploy"]).dropna(subset=keys))
+    facts = F.when(a.K8S.applies(F.col("path")), a.K8S.items(F.col("spec")))
+    hashes = files.select(
+        *keys,
+        F.struct(sha_of(canonical_json(F.col("document"))).alias("raw_sha")).alias("raw"),
+        F.transform(facts, lambda f: F.struct(sha_of(f["data"]).alias("sha"))).alias("facts"),
+    )
+    by_path = hashes.groupBy(*keys).agg(F.collect_list("raw").alias("raw"), F.flatten(F.collect_list("facts")).alias("facts"))
+    return by_path.select(*keys, F.explode("raw").alias("raw"), "facts").select(*keys, "raw", F.explode("facts").alias("fact")).select(*keys, "raw.raw_sha", "fact.sha")
 
 
 # --- classification and presence ----------------------------------------------

@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from fleetlens.operators.aspects import Aspect, extract_facts
 from fleetlens.operators.sequencing import number_rows
 from fleetlens.operators.targets import promote_target
 from fleetlens.session import scratch_path
 from fleetlens.streaming.changelog import Changelog
-from fleetlens.streaming.state import KEY, told_facts, with_keyed_state
+from fleetlens.streaming.state import KEY, SLICES, told_facts, with_keyed_state
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -129,9 +130,19 @@ def batch_changes(state: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def _tell(facts: DataFrame, log: Changelog, location: str, delay: str, expire_days: int | None, keep: Column) -> DataFrame:
+def _slices(spark: SparkSession, location: str, slices: int) -> int:
+    """``slices``, or what the job at ``location`` was started with: its state stays where it is."""
+    path = f"{location}/slices"
+    try:
+        return spark.read.schema("slices bigint").json(path).first()[0]
+    except AnalysisException:  # the first run
+        spark.range(1).select(F.lit(slices).cast("bigint").alias("slices")).write.json(path)
+        return slices
+
+
+def _tell(facts: DataFrame, log: Changelog, location: str, delay: str, expire_days: int | None, slices: int, keep: Column) -> DataFrame:
     """Run the keyed state over what has arrived, append its rows to the log and return the table they stand for."""
-    told = told_facts(facts, delay, expire_days).filter(keep).select(*log.schema.names)
+    told = told_facts(facts, delay, expire_days, _slices(facts.sparkSession, location, slices)).filter(keep).select(*log.schema.names)
     with with_keyed_state(facts.sparkSession):
         run_each_batch(told, location, f"{location}/checkpoint", "update", lambda batch, id, path: log.write(batch, id))
     return log.read()
@@ -148,21 +159,23 @@ def latest_log(spark: SparkSession, location: str) -> Changelog:
     return Changelog(spark, location, spark.createDataFrame([], schema).schema, KEY, ["millis", "push_id", "to_sha", "batch"])
 
 
-def write_changes(facts: DataFrame, location: str, delay: str = "3650 days", expire_days: int | None = None) -> DataFrame:
+def write_changes(facts: DataFrame, location: str, delay: str = "3650 days", expire_days: int | None = None, slices: int = SLICES) -> DataFrame:
     """Append change events under ``location`` and return all that hold.
 
     A fact is compared with the one before it in the order of events, kept per (repo, type, name) as in
     ``streaming.state``. A push that comes late, by at most ``delay``, is told with its predecessor, and its successor is
-    told again. A retried batch overwrites its own output and a restarted job goes on from its checkpoint.
+    told again. A retried batch overwrites its own output and a restarted job goes on from its checkpoint, with the
+    ``slices`` of its first run.
     """
     told = F.col("from_sha").isNotNull() & (F.col("again") | (F.col("from_sha") != F.col("to_sha")))
-    changes = _tell(facts, change_log(facts.sparkSession, f"{location}/changes"), location, delay, expire_days, told)
+    changes = _tell(facts, change_log(facts.sparkSession, f"{location}/changes"), location, delay, expire_days, slices, told)
     return changes.filter("from_sha != to_sha").select(*CHANGE_FIELDS)
 
 
-def write_latest(facts: DataFrame, location: str, delay: str = "3650 days", expire_days: int | None = None) -> DataFrame:
+def write_latest(facts: DataFrame, location: str, delay: str = "3650 days", expire_days: int | None = None, slices: int = SLICES) -> DataFrame:
     """Append the newest fact per (repo, type, name) whenever it changes and return the current ones."""
-    latest = _tell(facts, latest_log(facts.sparkSession, f"{location}/latest"), location, delay, expire_days, F.col("newest") & ~F.col("again"))
+    told = F.col("newest") & ~F.col("again")
+    latest = _tell(facts, latest_log(facts.sparkSession, f"{location}/latest"), location, delay, expire_days, slices, told)
     return latest.select(*KEY, "push_id", F.col("to_sha").alias("sha"))
 
 

@@ -18,6 +18,8 @@ from fleetlens.operators.extractors import NPM
 from fleetlens.session import cut_lineage
 
 IDEAL_REASON = "latest from NPM"
+#: Rows that a task sorts by time.
+ROWS_PER_RANGE = 1 << 18
 
 
 def modal_targets(facts: DataFrame) -> DataFrame:
@@ -72,7 +74,9 @@ def target_asof(facts: DataFrame, history: DataFrame, as_of: Column | None = Non
     ``history`` is (type, name, target_data, valid_from, ...); targets that start after ``as_of`` are not read. Facts and
     targets are merged in the order of time: rows are range partitioned by (type, name, time), the last target is carried
     along each range, and into later ranges of the key by a summary of one row per range. No interval is unfolded, and
-    the facts of one name lie in as many ranges as they fill.
+    the facts of one name lie in as many ranges as they fill. A range has at most some ``ROWS_PER_RANGE`` rows, or the
+    share of one of the session's shuffle partitions. Facts are counted, sampled and dealt: store them first if they are
+    costly to compute.
     """
     key, fields = ["type", "name"], [c for c in history.columns if c not in ("type", "name")]
     kept = [c for c in facts.columns if c not in key]
@@ -87,10 +91,13 @@ def target_asof(facts: DataFrame, history: DataFrame, as_of: Column | None = Non
         "_tie": F.coalesce(F.col("_target.target_data"), F.xxhash64("_fact").cast("string")),
     })
     order = ["_at", "_use", "_tie"]
-    ranged = rows.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id())
+    ranges = -(-facts.count() // ROWS_PER_RANGE)
+    number = [ranges] if ranges > int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    ranged = rows.repartitionByRange(*number, *key, *order).withColumn("_range", F.spark_partition_id())
     ranged = cut_lineage(ranged, "asof-ranges")  # cut points are sampled, and used twice
     along = Window.partitionBy("_range", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = ranged.withColumn("_here", F.last("_target", ignorenulls=True).over(along)).filter("_use")
+    dealt = ranged.repartition(ranges, "_range", *key) if number else ranged
+    merged = dealt.withColumn("_here", F.last("_target", ignorenulls=True).over(along)).filter("_use")
     ends = ranged.groupBy(*key, "_range").agg(F.max_by("_target", F.when(~F.col("_use"), F.struct("_at", "_tie"))).alias("_end"))
     earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).select(*key, "_range", "_before")

@@ -74,7 +74,7 @@ _HISTORY = """SELECT name, (y + 1) || '-01-01' AS since, arg_min(data, (-n, data
 )
 def _target_asof(fleet: Fleet) -> DataFrame:
     """Targets are set each January from the most used version of the year before."""
-    facts = with_push_time(default_npm_facts(fleet), fleet)
+    facts = cut_lineage(with_push_time(default_npm_facts(fleet), fleet), "facts")  # read twice, extracted once
     year = F.year("ts").alias("_y")
     counts = facts.groupBy("type", "name", year, "data").agg(F.count("*").alias("n"))
     chosen = counts.groupBy("type", "name", "_y").agg(

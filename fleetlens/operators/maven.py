@@ -4,15 +4,18 @@ A POM becomes a model: coordinates, parent, properties, managed and declared dep
 parents in rounds that double the reach (a parent's own pending parent is taken over), so a chain of n parents takes about
 log n rounds. Then dependencies are resolved in rounds of growing depth: of each (root, group, artifact) only the best
 path is kept, the nearest one and of several the one declared first; only what a round has added is followed further, so
-cycles end and no round meets all pairs again.
+cycles end. What was found lies in a table with as many buckets as the session has shuffle partitions, so each round is
+shuffled, written and never shuffled again.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.session import cut_lineage
+from fleetlens.session import cut_lineage, scratch_path
 
 DEPENDENCY = "struct<group:string,artifact:string,version:string,scope:string,optional:boolean,exclusions:array<string>>"
 PROPERTY = "struct<name:string,value:string>"
@@ -140,6 +143,32 @@ def effective_models(poms: DataFrame) -> DataFrame:
     return cut_lineage(line.select("id", "group", "artifact", "version", "managed", "dependencies"), "models")
 
 
+class Bucketed:
+    """Rows in the shared folder, dealt by ``KEY`` into the session's number of shuffle partitions; a join by ``KEY`` does not
+    shuffle them."""
+
+    KEY = ("root", "group", "artifact")
+
+    def __init__(self, rows: DataFrame):
+        self.spark, self.name = rows.sparkSession, f"maven_{uuid.uuid4().hex}"
+        self.path, self.schema = scratch_path(self.spark, "maven"), rows.schema
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.add(rows.repartition(self.buckets, *self.KEY))
+
+    def add(self, rows: DataFrame) -> None:
+        """Append ``rows``, which should come grouped by ``KEY``: else every task writes a file for every bucket."""
+        writer = rows.select(*self.schema.names).write.mode("append").format("parquet")
+        writer.bucketBy(self.buckets, *self.KEY).option("path", self.path).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> DataFrame:
+        """The rows, read by their path; the name of the table is forgotten."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def _inherited(outer: Column, inner: Column) -> Column:
     """The scope of a dependency of a dependency."""
     return F.when(outer == "compile", inner).otherwise(outer)
@@ -158,11 +187,13 @@ def resolve(models: DataFrame, roots: DataFrame) -> DataFrame:
     wanted = roots.select("root").distinct().join(models.withColumnRenamed("id", "root"), "root")
     pinned = wanted.select("root", F.posexplode("managed").alias("at", "m")).filter("m.version IS NOT NULL")
     pinned = pinned.groupBy("root", F.col("m.group").alias("group"), F.col("m.artifact").alias("artifact")).agg(F.min_by("m.version", "at").alias("pin"))
-    pinned = cut_lineage(pinned, "pinned")
-    itself = wanted.select("root", "group", "artifact")
+    pinned = Bucketed(pinned)
+    number = F.lit(0).cast("bigint").alias("depth")
     none = F.array().cast("array<string>")
+    text, path = F.lit(None).cast("string"), F.array().cast("array<int>")
+    found_at = Bucketed(wanted.select("root", "group", "artifact", text.alias("version"), text.alias("scope"), path.alias("path"), none.alias("banned"), number))
     frontier = wanted.select("root", F.col("root").alias("id"), F.lit("compile").alias("outer"), F.array().cast("array<int>").alias("path"), none.alias("banned"))
-    depth, rounds = 0, []
+    depth = 0
     while True:
         depth += 1
         found = frontier.join(edges, F.col("id") == F.col("from"))
@@ -175,21 +206,14 @@ def resolve(models: DataFrame, roots: DataFrame) -> DataFrame:
             "banned": F.array_distinct(F.concat("banned", "exclusions")),
         })
         best = found.groupBy("root", "group", "artifact").agg(F.min_by(F.struct("version", "scope", "path", "banned"), "path").alias("b"))
-        taken = itself
-        for earlier in rounds:
-            taken = taken.unionByName(earlier.select("root", "group", "artifact"))
-        best = best.join(taken, ["root", "group", "artifact"], "left_anti").select("root", "group", "artifact", "b.*")
+        best = best.join(found_at.read().select(*Bucketed.KEY), [*Bucketed.KEY], "left_anti").select("root", "group", "artifact", "b.*")
         if depth > 1:
-            best = best.join(pinned, ["root", "group", "artifact"], "left").withColumn("version", F.coalesce("pin", "version")).drop("pin")
-        best = cut_lineage(best.withColumn("depth", F.lit(depth).cast("bigint")), "resolved")
+            best = best.join(pinned.read(), [*Bucketed.KEY], "left").withColumn("version", F.coalesce("pin", "version")).drop("pin")
+        found_at.add(best.withColumn("depth", F.lit(depth).cast("bigint")))
+        best = found_at.read().filter(F.col("depth") == depth)
         if best.isEmpty():
             break
-        rounds.append(best)
         frontier = best.select("root", coordinates(F.col("group"), F.col("artifact"), F.col("version")).alias("id"), F.col("scope").alias("outer"), "path", "banned")
     columns = ["root", "group", "artifact", "version", "scope", "depth", (F.col("depth") == 1).alias("direct")]
-    if not rounds:
-        return best.select(*columns)
-    out = rounds[0]
-    for more in rounds[1:]:
-        out = out.unionByName(more)
-    return out.select(*columns)
+    pinned.close()
+    return found_at.close().filter("depth > 0").select(*columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,27 @@ def test_nothing_to_resolve(spark):
     models = effective_models(poms(spark, chain(1, None)))
     assert resolve(models, models.select(F.col("id").alias("root"))).collect() == []
     assert resolve(models, models.filter("false").select(F.col("id").alias("root"))).collect() == []
+
+
+def test_pairs_of_earlier_rounds_are_not_shuffled_again(spark, monkeypatch):
+    one = lambda i: {"g": "g", "a": f"a{i + 1}", "v": "1", "scope": "compile", "optional": False, "excluded": []}
+    models = effective_models(poms(spark, *(render(("g", f"a{i}", "1"), [one(i)], [("g", "a3", "1")]) for i in range(6))))
+    plans, kind = [], type(models)
+    join, setting = kind.join, "spark.sql.autoBroadcastJoinThreshold"
+
+    def watch(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if how == "left_anti":
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(kind, "join", watch)
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")  # tables of any size are joined as large ones are
+    try:
+        rows = resolve(models, models.select(F.col("id").alias("root"))).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert sorted((int(r.root[3]), int(r.artifact[1]), r.depth) for r in rows) == [(i, j, j - i) for i in range(6) for j in range(i + 1, 7)]
+    assert len(plans) == 7 and all(len(re.findall(r"Exchange hashpartitioning\(root#\d+, group#", p)) == 1 for p in plans)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("maven_")]

@@ -32,9 +32,10 @@ MAGIC = b"FLTOKENS"
 BLOCK_IDS = 1 << 16
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Encoded pieces of text kept in a Python worker; at most about 250 MB. Beyond, only pieces of at most ``SHORT``
-#: characters stay, as these are the frequent ones.
-PIECES, SHORT = 1_000_000, 9
+#: Encoded pieces of text in each of the two generations a Python worker keeps.
+PIECES = 1 << 18
+#: Pieces that are encoded as one text, and bytes of text that are looked up at once.
+TOGETHER, SLICE = 1000, 1 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -137,7 +138,6 @@ class TokenFile:
 _BORDER = re.compile(r"(?= \S)")
 _UNSAFE = re.compile(r" (?!\S)")
 
-
 def pieces_of(text: str) -> list[str]:
     if _UNSAFE.search(text):
         return _BORDER.split(text)
@@ -145,14 +145,25 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """A tokenizer that remembers the ids of pieces. One per Python worker and tokenizer file."""
+    """A tokenizer that remembers the ids of pieces. One per Python worker and tokenizer file.
+
+    Pieces are remembered in two generations: when the younger is full it becomes the elder, whose pieces stay only if
+    they are met again. So frequent pieces stay, whatever their length, and a worker holds ``2 * PIECES`` pieces and
+    those of one call.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
+        # a byte-level token has a character for each byte it stands for
+        names = {i: len(token) for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        names |= {i: len(token.content.encode()) for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.size = np.zeros(max(names, default=0) + 1, dtype=np.int64)
+        self.size[list(names)] = list(names.values())
         self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -165,13 +176,31 @@ class Encoder:
         """Ids of each text as little-endian uint32."""
         pieces = [pieces_of(t) for t in texts]
         if len(self.known) > PIECES:
-            self.known = {p: ids for p, ids in self.known.items() if len(p) <= SHORT}
-        missing = list(set().union(*pieces).difference(self.known))
-        for piece, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.known[piece] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+            self.known, self.elder = {}, self.known
+        self._learn(set().union(*pieces).difference(self.known), {p[0] for p in pieces})
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
+    def _learn(self, pieces: set[str], first: set[str]) -> None:
+        """Remember the ids of pieces. Those not of ``first`` have a border before them and are joined into longer texts,
+        whose ids are cut where the bytes of a piece end; where no id ends there, each is encoded by itself."""
+        again = [(x, ids) for x in pieces if (ids := self.elder.get(x)) is not None]
+        self.known.update(again)
+        pieces.difference_update(x for x, _ in again)
+        joined, alone = list(pieces - first), list(pieces & first)
+        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            ends, last = np.cumsum(self.size[ids]), np.cumsum([len(x.encode()) for x in group])
+            at = np.searchsorted(ends, last)
+            if len(ids) and ends[-1] == last[-1] and (ends[at] == last).all():
+                data, cut = ids.tobytes(), (4 * (at + 1)).tolist()
+                self.known.update(zip(group, map(data.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
+            else:
+                alone += group
+        for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.known[piece] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+
 
 # -- jobs ------------------------------------------------------------------------------------------------------------
 
@@ -194,7 +223,7 @@ def write_token_files(docs: DataFrame, order: list[str], tokenizer: str | None =
         encoder, writer, path = Encoder.of(tokenizer or public_tokenizers.path(TOKENIZER)), None, ""
         context = TaskContext.get()
         for batch in batches:
-            for part, _, _ in slices(batch, "text"):
+            for part, _, _ in slices(batch, "text", SLICE):
                 if writer is None:
                     files, base = arrow_fs.FileSystem.from_uri(folder)
                     files.create_dir(base, recursive=True)

@@ -511,3 +511,38 @@ def test_links_of_wide_and_narrow_keys():
 def test_expression_of_a_wrapper_survives_json():
     wrapper = wrappers.page_wrapper("<p>x</p><p>y</p>")
     assert wrappers.expression(json.loads(json.dumps(wrapper))) == "(<p>#</p>)+"
+
+
+# -- memory of Python workers ----------------------------------------------------------------------------------------
+
+
+def test_encoder_forgets_pieces_and_keeps_the_ids():
+    import public_tokenizers
+
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdeé😀0.'<|\n\t"), rng.integers(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(120)]
+    texts += ["", " ", "  a", "a\0 b", "a \n b", " <|endoftext|> x <|endoftext|>", "Ⅷ ² don't  'll\r\n\n x", "\n", "x　 y\xa0 z \x85 w"] * 2
+    encoder = token_files.Encoder(path)
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for pieces in (50, 1 << 18):
+        encoder = token_files.Encoder(path)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(token_files, "PIECES", pieces)
+            got = []
+            for i in range(0, len(texts), 4):
+                got += encoder.encode(texts[i : i + 4])
+                assert len(encoder.elder) + len(encoder.known) <= 2 * (pieces + 4 * 61)
+        assert got == want
+
+
+def test_encoder_joins_pieces_only_where_ids_end(monkeypatch):
+    import public_tokenizers
+
+    encoder = token_files.Encoder(public_tokenizers.path(token_files.TOKENIZER))
+    texts = ["some words of a text", "and others, too"]
+    want = encoder.encode(texts)
+    encoder.known.clear()
+    encoder.size[:] = 3  # lengths that do not fit: every piece is encoded by itself
+    assert encoder.encode(texts) == want

@@ -28,6 +28,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 6
 #: Shingles in a block of a large group, and in a chunk of small groups that are compared at once.
 BLOCK, CHUNK = 400_000, 400_000
+#: Bytes of text looked at at once, and darts thrown at once: both bound the memory of a task. A single text may need more.
+SLICE, DARTS = 1 << 20, 1 << 19
 #: Texts in a block of a large group, and rows of a square of its texts that are counted at once.
 TEXTS, TILE = 2000, 256
 #: A shingle of more rows than this is counted in a square of its group instead of as pairs.
@@ -81,7 +83,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
     reach = np.ceil(k * (math.log(k) + 4) / np.maximum(size, 1)).astype(np.int64)
     todo = np.flatnonzero(size > 0)
     while len(todo):
-        for part in np.array_split(todo, max(1, int((size[todo] * reach[todo]).sum() >> 21))):
+        for part in np.array_split(todo, max(1, int((size[todo] * reach[todo]).sum() // DARTS))):
             if len(part):
                 items = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in part])
                 rows = np.repeat(part, size[part])
@@ -105,7 +107,7 @@ def band_table(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, sizes, bags = [], [], []
-        for _, raw, offsets in slices(batch, "text"):
+        for _, raw, offsets in slices(batch, "text", SLICE):
             values, at = shingles(raw, offsets)
             sizes.append(np.diff(at))
             sums = [np.append(np.uint64(0), np.cumsum(mix(values + salt), dtype=np.uint64)) for salt in (GOLD, np.uint64(0xD6E8FEB86659FD93))]
@@ -205,7 +207,7 @@ def _links_of_groups(threshold: float):
             return out
 
         for batch in batches:
-            for part, raw, offsets in slices(batch, "text"):
+            for part, raw, offsets in slices(batch, "text", SLICE):
                 found, at = _keys(raw, offsets)
                 keys += np.split(found, at[1:-1])
                 group += list(zip(*(part.column(c).to_pylist() for c in ("root", "low", "high")), strict=True))

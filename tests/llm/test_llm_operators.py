@@ -546,3 +546,20 @@ def test_encoder_joins_pieces_only_where_ids_end(monkeypatch):
     encoder.known.clear()
     encoder.size[:] = 3  # lengths that do not fit: every piece is encoded by itself
     assert encoder.encode(texts) == want
+
+
+def test_signatures_need_little_memory_and_do_not_depend_on_the_darts_at_once(monkeypatch):
+    import tracemalloc
+
+    texts = [" ".join(f"w{(i * 7 + j * j) % 977}" for j in range(400)) for i in range(600)]
+    data = [t.encode() for t in texts]
+    raw, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    values, at = dart_minhash.shingles(raw, offsets)
+    k = dart_minhash.BANDS * dart_minhash.ROWS
+    tracemalloc.start()
+    few = dart_minhash.signatures(values, at, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6, peak
+    monkeypatch.setattr(dart_minhash, "DARTS", 1 << 24)
+    assert (dart_minhash.signatures(values, at, k) == few).all()
